@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_counts
+from . import exact_dedup, ngram_jaccard, token_counts
 
 QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
+    "op7_ngram_jaccard": ngram_jaccard.op7_ngram_jaccard,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {"op10_exact_dedup": exact_dedup.SQL}
