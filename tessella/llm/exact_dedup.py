@@ -46,7 +46,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def heavy_hitters(table: DataFrame, key: str) -> DataFrame:
     """Candidate keys (item) by a Misra-Gries summary; complete for keys with 1 / HEAVY_SHARE of the rows or more."""
     leaves = table.select(F.xxhash64(key).alias("h")).groupBy((F.spark_partition_id() % TREE).alias("leaf")).agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("part"))
-    named = leaves.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(part, {TRACKED}), {HEAVY_MOST})").alias("top"))
+    # One group with a key: a global aggregate would also combine the empty buffers of empty partitions, which the sketch refuses.
+    named = leaves.groupBy((F.col("leaf") < 0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(part, {TRACKED}), {HEAVY_MOST})").alias("top"))
     return named.select(F.explode("top").alias("t")).select(F.col("t.item").alias("h"))
 
 
