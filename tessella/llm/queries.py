@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_jaccard, token_counts
+from . import exact_dedup, ngram_jaccard, packing, token_counts
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_token_counts": token_counts.op4_token_counts,
     "op7_ngram_jaccard": ngram_jaccard.op7_ngram_jaccard,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
