@@ -28,7 +28,7 @@ from .common import cut, documents, small_batches, text_of
 
 LIMIT, END = 4096, 1
 #: Pieces in a shard, about. The packer keeps counts by gap and stacks of open sequences: memory follows this number only.
-SHARD_PIECES = 200_000
+SHARD_PIECES = 50_000
 #: Chunks between white space whose ids a worker remembers.
 CACHE_CHUNKS = 500_000
 

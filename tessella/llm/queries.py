@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_jaccard, packing, token_counts
+import corpus_pipeline
+
+from . import exact_dedup, language_id, ngram_jaccard, packing, quality_rules, token_counts, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_language_id": language_id.op3_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_ngram_jaccard": ngram_jaccard.op7_ngram_jaccard,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
