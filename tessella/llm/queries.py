@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, language_id, ngram_jaccard, packing, quality_rules, token_counts, toxicity
+from . import exact_dedup, language_id, lm_scoring, ngram_jaccard, packing, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -12,8 +12,10 @@ QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_language_id": language_id.op3_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_ngram_jaccard": ngram_jaccard.op7_ngram_jaccard,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {"op10_exact_dedup": exact_dedup.SQL}
