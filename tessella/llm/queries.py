@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, language_id, lm_scoring, ngram_jaccard, packing, quality_rules, token_counts, toxicity, url_filter
+from . import byte_bpe, exact_dedup, language_id, lm_scoring, ngram_jaccard, packing, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -16,6 +16,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_ngram_jaccard": ngram_jaccard.op7_ngram_jaccard,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {"op10_exact_dedup": exact_dedup.SQL}
