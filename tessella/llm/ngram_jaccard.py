@@ -43,7 +43,7 @@ SUBSET = 2
 #: One document in SAMPLE tells how common elements are; at most COMMON elements are put last (8 bytes each).
 SAMPLE, COMMON = 16, 500_000
 #: Buckets of up to SMALL members are expanded into pairs; larger ones take up to ROUNDS pivot rounds first.
-SMALL, ROUNDS = 4, 6
+SMALL, ROUNDS = 4, 3
 #: Entries of a light set's subset row or a heavy set's list row; salts keep the two kinds apart.
 LIGHT, HEAVY = 1, 2
 
@@ -115,21 +115,6 @@ def _vertices(sets):
     return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, v): v stands for the whole set, null for the empty one."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            sets = [shingles(t) for t in as_bytes(b.column("text"))]
-            n = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(_vertices(sets), mask=np.array([not x for x in n], bool))], ["doc_id", "n_shingles", "v"])
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, v long")
-
-
 def _sampled(docs: DataFrame) -> DataFrame:
     """(h, f): in how many different texts of a sample, one document in SAMPLE, an element occurs."""
 
@@ -145,8 +130,8 @@ def _sampled(docs: DataFrame) -> DataFrame:
     return chosen.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("f"))
 
 
-def _buckets(docs: DataFrame, common, edge: int, percent: int) -> DataFrame:
-    """(bucket, v, n): the subset rows of light sets and the list rows of heavy ones."""
+def _profiles(docs: DataFrame, common, edge: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, v, buckets): v stands for the whole set (null for the empty one); buckets holds a light set's subsets and a heavy one's list places."""
 
     def run(batches):
         import itertools
@@ -156,35 +141,47 @@ def _buckets(docs: DataFrame, common, edge: int, percent: int) -> DataFrame:
 
         known = common.value
         for b in batches:
-            sets = [s for s in map(shingles, as_bytes(b.column("text"))) if len(s)]
-            if not sets:
-                continue
-            vertices, sizes, keys = _vertices(sets), np.array([len(s) for s in sets], np.int32), []
-            for s in sets:
-                n = len(s)
-                t = -(-percent * n // 100)
-                if len(known):
-                    at = np.searchsorted(known["h"], s)
-                    at[at == len(known)] = 0
-                    often = np.where(known["h"][at] == s, known["f"][at], 0)
-                    s = s[np.lexsort((s, often))]
-                rows = []
+            sets = [shingles(t) for t in as_bytes(b.column("text"))]
+            n = np.array([len(s) for s in sets], np.int64)
+            ends = np.cumsum(n)
+            if len(known) and n.sum():  # how common each element is, for the whole batch at once
+                whole = np.concatenate(sets)
+                at = np.searchsorted(known["h"], whole)
+                at[at == len(known)] = 0
+                often = np.where(known["h"][at] == whole, known["f"][at], 0)
+            else:
+                often = np.zeros(int(n.sum()), np.uint32)
+            keys = []
+            for s, end in zip(sets, ends):
+                size = len(s)
+                if not size:
+                    continue
+                t = -(-percent * size // 100)
+                rank = often[end - size : end]
+                if rank.any():
+                    s = s[np.argsort(rank, kind="stable")]
                 with np.errstate(over="ignore"):
-                    if n <= edge:
-                        pairs = np.array(list(itertools.combinations(range(min(n, n - t + SUBSET)), SUBSET)), np.int64).reshape(-1, 2)
+                    if size <= edge:
+                        pairs = np.array(list(itertools.combinations(range(min(size, size - t + SUBSET)), SUBSET)), np.int64).reshape(-1, 2)
                         low, high = np.minimum(s[pairs[:, 0]], s[pairs[:, 1]]), np.maximum(s[pairs[:, 0]], s[pairs[:, 1]])
-                        rows.append(_mix(_mix(low) + high + np.uint64(LIGHT)))
-                    if n > edge or 100 * n >= percent * edge:
-                        rows.append(_mix(s[: n - t + 1] + np.uint64(HEAVY)))
-                keys.append(np.concatenate(rows))
-            lens = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(vertices, lens)), pa.array(np.repeat(sizes, lens))], ["bucket", "v", "n"])
-
-    return docs.select("text").mapInArrow(run, "bucket long, v long, n int")
+                        keys.append(_mix(_mix(low) + high + np.uint64(LIGHT)))
+                    if size > edge or 100 * size >= percent * edge:
+                        keys.append(_mix(s[: size - t + 1] + np.uint64(HEAVY)))
+                    else:
+                        keys.append(np.empty(0, np.uint64))
+                    if size > edge:
+                        keys.append(np.empty(0, np.uint64))  # two entries for each set
+            lens = np.zeros(len(sets) + 1, np.int32)
+            lens[1:][n > 0] = [len(a) + len(c) for a, c in zip(keys[::2], keys[1::2])]
+            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lens).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(_vertices(sets), mask=n == 0), lists], ["doc_id", "n_shingles", "v", "buckets"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, v long, buckets array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked; texts (v, text) holds a text for each vertex."""
+    """The pairs (a, b) whose whole sets are linked; texts (v, s) holds the elements of each vertex, sorted."""
 
     def run(batches):
         import numpy as np
@@ -193,17 +190,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         last_id, last = None, None
         for batch in batches:
             keep = []
-            for i, (a, at, bt) in enumerate(zip(batch.column("a").to_pylist(), as_bytes(batch.column("at")), as_bytes(batch.column("bt")))):
+            for i, (a, at, bt) in enumerate(zip(batch.column("a").to_pylist(), batch.column("at").to_pylist(), batch.column("bt").to_pylist())):
                 if a != last_id:
-                    last_id, last = a, shingles(at)
-                other = shingles(bt)
-                both = len(np.intersect1d(last, other, assume_unique=True))
+                    last_id, last = a, np.frombuffer(at, np.uint64)
+                other = np.frombuffer(bt, np.uint64)
+                place = np.searchsorted(last, other)
+                place[place == len(last)] = 0
+                both = int((last[place] == other).sum())
                 if 100 * both >= percent * (len(last) + len(other) - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    at = texts.select(F.col("v").alias("a"), F.col("text").alias("at"))
-    bt = texts.select(F.col("v").alias("b"), F.col("text").alias("bt"))
+    at = texts.select(F.col("v").alias("a"), F.col("s").alias("at"))
+    bt = texts.select(F.col("v").alias("b"), F.col("s").alias("bt"))
     return pairs.join(bt, "b").join(at, "a").select("a", "b", "at", "bt").mapInArrow(run, "a long, b long")
 
 
@@ -239,13 +238,14 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    sets = cut(_sets(base), "sets")
-    classes = cut(sets.filter("v is not null").groupBy("v").agg(F.min("doc_id").alias("class_id")), "classes")
     counted = cut(_sampled(base), "sampled")
     lists = counted.agg(F.sum(F.col("f") * F.col("f")).alias("ff"), F.sum("f").alias("f")).first()
     edge = boundary((lists["ff"] or 0) / (lists["f"] or 1), percent)
     common = spark.sparkContext.broadcast(_common(counted))
-    rows = cut(_buckets(base, common, edge, percent), "buckets")
+    profiles = cut(_profiles(base, common, edge, percent), "profiles")
+    sets = profiles.select("doc_id", "n_shingles", "v")
+    classes = cut(sets.filter("v is not null").groupBy("v").agg(F.min("doc_id").alias("class_id")), "classes")
+    rows = profiles.select(F.explode("buckets").alias("bucket"), "v", F.col("n_shingles").cast("int").alias("n"))
     several = rows.groupBy("bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("bucket")
     rows = cut(rows.join(several, "bucket").distinct(), "shared")
     members = cut(rows.select("v").distinct(), "members")  # a set that shares no bucket is linked with nothing
@@ -280,7 +280,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def _texts(base: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(v, text): one text for each vertex in members."""
+    """(v, s): the elements of each vertex in members, sorted, as 64-bit integers in a row."""
     ids = cut(sets.join(members, "v", "left_semi").groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).getField("doc_id").alias("id")).select("id").distinct(), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     held = base.join(side, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
@@ -289,9 +289,10 @@ def _texts(base: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_vertices([shingles(t) for t in as_bytes(b.column("text"))])), b.column("text")], ["v", "text"])
+            sets = [shingles(t) for t in as_bytes(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(_vertices(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "s"])
 
-    return held.mapInArrow(run, "v long, text string").dropDuplicates(["v"])
+    return held.mapInArrow(run, "v long, s binary").dropDuplicates(["v"])
 
 
 def _common(counted: DataFrame):
