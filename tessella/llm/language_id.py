@@ -27,7 +27,7 @@ from .common import bounded_sample, documents, fold, small_batches
 TRAIN, TRAIN_POINTS = 3000, 20_000
 EXAMPLE, EXAMPLES = 40, 24_000
 BINS, SIZE, GRAMS = 1 << 16, 16, (2, 3, 4)
-EPOCHS, RATE, KEPT_BACK, PRECISION = 3, 0.5, 10, 0.98
+EPOCHS, LEAST_STEPS, RATE, KEPT_BACK, PRECISION = 3, 6000, 0.5, 10, 0.98
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
 
@@ -70,11 +70,12 @@ def train(rows: list[tuple[str, str]], seed: int = 7):
     embed = rng.uniform(-1 / SIZE, 1 / SIZE, (BINS, SIZE)).astype(np.float32)
     out = np.zeros((SIZE, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
-    fit = [r for k, r in enumerate(ready) if k % KEPT_BACK]
-    for epoch in range(EPOCHS):
+    fit = [r for k, r in enumerate(ready) if k % KEPT_BACK] or ready
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(fit)))  # a small sample is gone through more often
+    for epoch in range(epochs):
         for step, k in enumerate(rng.permutation(len(fit))):
             ids, y = fit[k]
-            rate = RATE * (1 - (epoch + step / len(fit)) / EPOCHS)
+            rate = RATE * (1 - (epoch + step / len(fit)) / epochs)
             mean = embed[ids].mean(0)
             z = mean @ out + bias
             p = np.exp(z - z.max())
