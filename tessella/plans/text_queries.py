@@ -137,11 +137,11 @@ def span_fuse(spark, sf_dir):
     return M.fuse(_spans(spark, sf_dir))
 
 
-@query(f"""with {SPANS_SQL}, t as (select c_custkey as text_id, length(c_name || c_mktsegment || '                                ') as len from customer where c_custkey < 200),
+@query(f"""with {SPANS_SQL}, t as (select c_custkey as text_id, length(c_name || c_mktsegment || '                                ') as len from customer),
 c as (select text_id, count(distinct p) as covered from (select text_id, unnest(range(start, "end")) as p from m) group by 1), a as (select text_id, count(*) as n, avg(confidence) as avg_confidence from m group by 1)
 select t.text_id, coalesce(n, 0)::int as n, round(coalesce(covered, 0) / len, 6) as coverage, round(coalesce(n, 0) / len, 6) as density, round(coalesce(avg_confidence, 0), 6) as avg_confidence from t left join c using (text_id) left join a using (text_id)""")
 def coverage_density(spark, sf_dir):
-    texts = table(spark, sf_dir, "customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("text_id"), F.concat("c_name", "c_mktsegment", F.lit(" " * 32)).alias("text"))
+    texts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("text_id"), F.concat("c_name", "c_mktsegment", F.lit(" " * 32)).alias("text"))
     return M.coverage(texts, _spans(spark, sf_dir)).withColumn("n", F.col("n").cast("int"))
 
 

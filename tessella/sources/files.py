@@ -51,7 +51,7 @@ def read_dictionary(spark: SparkSession, folder: str, types: dict[str, str] = FI
     lines = spark.read.text(f"{folder}/*.txt").select(F.trim("value").alias("value"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("file"))
     parts = F.split("value", r"\|", -1)
     part = lambda k: F.trim(F.coalesce(F.get(parts, F.lit(k)), F.lit("")))
-    aliases = F.filter(F.transform(F.split(part(1), ","), F.trim), lambda x: x != "")
+    aliases = F.filter(F.transform(F.split(part(1), ","), lambda x: F.trim(x)), lambda x: x != "")
     known = F.element_at(literal_map(types), F.lower("file"))
     return lines.select(part(0).alias("name"), aliases.alias("aliases"), F.nullif(part(2), F.lit("")).alias("kg_id"), known.alias("etype")).filter("name <> '' and etype is not null")
 
