@@ -67,3 +67,20 @@ def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
         return rows
     share = int(0.95 * most / n * (1 << 20))
     return rows.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < share).limit(most)
+
+
+#: Ids are broadcast up to this many rows (about 16 bytes each); beyond, joins shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def checked(ids: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """(ids, rows): written to the shared folder, counted, and marked for broadcast only if at most BROADCAST_IDS rows."""
+    held = cut(ids, label)
+    n = held.count()
+    return (F.broadcast(held) if n <= BROADCAST_IDS else held), n
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not among gone (one column __gone). Texts are only shuffled if there are too many ids to broadcast."""
+    held, n = checked(gone, "gone")
+    return docs.join(held, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti") if n else docs

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, documents, text_of
+from .common import SPACE, checked, cut, documents, text_of, without_ids
 
 #: A digest with at least 1 / HEAVY_SHARE of all rows is a heavy hitter; the summary's error is far smaller.
 HEAVY_SHARE = 1024
@@ -90,13 +90,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows that are alone or win are told by id; of rows that repeat an id and text, one stays.
     """
-    decided = exact_dedup(docs, id_col, text_col)
+    decided = cut(exact_dedup(docs, id_col, text_col), "decided")
     dropped = decided.groupBy("doc_id").agg(F.max("kept").alias("any_kept")).filter(~F.col("any_kept")).select(F.col("doc_id").alias("__gone"))
-    left = docs.join(dropped, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    repeated = decided.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("stay")).join(docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.count(F.lit(1)).alias("rows")), "doc_id").filter("rows > stay").select(F.col("doc_id").alias("__again"))
-    again = left.join(repeated, F.col(id_col).eqNullSafe(F.col("__again")), "left_semi")
-    once = again.withColumn("__norm", F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)).dropDuplicates([id_col, "__norm"]).drop("__norm")
-    return left.join(repeated, F.col(id_col).eqNullSafe(F.col("__again")), "left_anti").unionByName(once)
+    left = without_ids(docs, id_col, dropped)
+    rows = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay"))
+    repeated, n = checked(rows.filter("stay > 0 and rows > stay").select(F.col("doc_id").alias("__again")), "again")
+    if not n:
+        return left
+    same = F.col(id_col).eqNullSafe(F.col("__again"))
+    once = left.join(repeated, same, "left_semi").withColumn("__norm", F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)).dropDuplicates([id_col, "__norm"]).drop("__norm")
+    return left.join(repeated, same, "left_anti").unionByName(once)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

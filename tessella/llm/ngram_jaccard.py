@@ -34,7 +34,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, documents, small_batches
+from .common import as_bytes, checked, cut, documents, small_batches, without_ids
 
 WORDS = 5
 #: A link: PERCENT * |union| <= 100 * |intersection|.
@@ -275,14 +275,9 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     return sets.join(found, "v", "left").select("doc_id", "n_shingles", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-#: Ids are broadcast up to this many rows (16 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
-
-
 def _texts(base: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
     """(v, s): the elements of each vertex in members, sorted, as 64-bit integers in a row."""
-    ids = cut(sets.join(members, "v", "left_semi").groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).getField("doc_id").alias("id")).select("id").distinct(), "ids")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    side, _ = checked(sets.join(members, "v", "left_semi").groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).getField("doc_id").alias("id")).select("id").distinct(), "ids")
     held = base.join(side, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
 
     def run(batches):
@@ -312,7 +307,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     """
     found = jaccard_join(docs, percent, id_col, text_col)
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("c")).filter("c <> doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without_ids(docs, id_col, gone)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

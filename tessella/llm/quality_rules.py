@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, documents, text_of
+from .common import SPACE, cut, documents, text_of, without_ids
 
 #: A line is removed if more than MIN_FAMILIES families and more than one in SHARE of the host's documents hold it.
 MIN_FAMILIES, SHARE = 10, 1000
@@ -115,7 +115,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs that stay, with their own columns. A row without an id is told by nothing and stays only if no such row is rejected."""
     bad = decide(docs, id_col, text_col, host_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return without_ids(docs, id_col, bad)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
