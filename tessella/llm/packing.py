@@ -30,8 +30,10 @@ LIMIT, END = 4096, 1
 #: Pieces in a shard, about. The packer keeps counts by gap and stacks of open sequences: memory follows this number only.
 SHARD_PIECES = 50_000
 #: Chunks between white space whose ids a worker remembers.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_200_000
 
+#: ASCII punctuation that may end a chunk; marks of contractions and of special tokens are not among it.
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 CHUNKS = re.compile(r"[^ \t-\r]+").findall
 
 
@@ -46,14 +48,27 @@ class Ids(dict):
         self.tokenizer, self.most = tokenizer, most
 
     def learn(self, texts: list[list[str]]) -> None:
-        import numpy as np
+        """Adds the chunks of texts. A word of ASCII letters is lower-cased first, as the tokenizer does, and letters and the
+        punctuation after them are always separate words of it, so only new stems and tails are encoded."""
+        import struct
 
-        new = list({c for chunks in texts for c in chunks if c not in self})
-        if len(self) + len(new) > self.most:
+        new = {c for chunks in texts for c in chunks if c not in self}
+        if len(self) + 2 * len(new) > self.most:
             self.clear()
-            new = list({c for chunks in texts for c in chunks})
-        for c, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[c] = np.array(got.ids, "<u4").tobytes()
+            new = {c for chunks in texts for c in chunks}
+        parts = {}
+        for c in new:
+            stem = c.rstrip(TAIL)
+            if len(stem) < len(c) and not stem.isalpha():
+                stem = c
+            parts[c] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, c[len(stem) :])
+        wanted = list({x for pair in parts.values() for x in pair if x and x not in self})
+        for x, got in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
+            ids = got.ids
+            self[x] = struct.pack(f"<{len(ids)}I", *ids)
+        for c, (stem, tail) in parts.items():
+            if c != stem:
+                self[c] = self[stem] + self[tail] if tail else self[stem]
 
 
 _IDS: dict[int, Ids] = {}
