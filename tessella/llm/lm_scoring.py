@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, documents, fold, small_batches, text_of
 from .ngram_jaccard import _HASHES
 
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
 STATE_SHARE, ARC_SHARE = 10_000, 1_000_000
 #: Taken from each bigram count.
 DISCOUNT = 0.75
