@@ -7,28 +7,35 @@ so the map is cut into BUCKETS small maps by crc32. The fold keeps the ranks of
 a merge looks up two new pairs only. Decoding turns ids into pieces by a literal array and concatenates them.
 
 Words repeat, so the fold is not run for each occurrence: the COMMON most frequent words of a sample of the documents
-(one in SAMPLE) are encoded and decoded once, as distinct words, and become a second literal map of bounded size; a word that is
-not among them is folded where it stands. Which words are common only saves work and changes no result.
-There is no shuffle of texts: after the dictionary, one narrow pass over the documents returns the result.
+(one in SAMPLE) are encoded and decoded once, as distinct words, by the fold. This dictionary is bounded and is broadcast.
 
-Cases: null or empty text has no ids, and its hashes are those of the empty string; a word of n bytes takes n - 1 fold
-steps over arrays of up to n entries; ids may be null or repeat; an empty table gives an empty result; only the id and text columns are read.
+The pass over the documents is in Python on Arrow batches, and words outside the dictionary are merged there by the same
+ranks with a heap: looked up and folded in higher-order functions too, the whole query was several times slower than
+the limits allow (figures in the README). `encode_decode(native=True)` is that form; both give the same rows.
+There is no shuffle of texts, and which words are common only saves work and changes no result.
+
+Cases: null or empty text has no ids, and its hashes are those of the empty string; a word of n bytes takes n log n
+steps (in the native form n - 1 fold steps over arrays of up to n entries); ids may be null or repeat; an empty table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, text_of
+from .common import cut, documents, small_batches, text_of
 
 BUCKETS, WORD_BUCKETS = 8192, 16384
 #: Distinct words in the dictionary at most, and the share of documents whose words compete for it.
-COMMON, SAMPLE = 120_000, 8
+COMMON, SAMPLE = 60_000, 16
+#: Words that a worker remembers beside the dictionary, about.
+CACHE_WORDS = 500_000
 NONE = 2**31 - 1
 
 
@@ -94,9 +101,68 @@ def _coded(word: Column, ranks: Column, pieces: Column) -> Column:
     return _bind(_fold(word, ranks), both)
 
 
-def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def merge_pieces(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces of a word: the adjacent pair with the lowest rank merges first, the leftmost of equals, until none is left."""
+    n, get = len(word), ranks.get
+    piece = [word[i : i + 1] for i in range(n)]
+    rank = [get(word[i : i + 2], -1) for i in range(n - 1)] + [-1]  # of the pair that begins here
+    heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
+    heapq.heapify(heap)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while heap:
+        r, i = divmod(heapq.heappop(heap), n)
+        if rank[i] != r:  # an end of the pair has merged since
+            continue
+        j = after[i]
+        piece[i] = joined = piece[i] + piece[j]
+        piece[j] = b""
+        rank[j] = rank[i] = -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            rank[i] = r = get(joined + piece[k], -1)
+            if r >= 0:
+                heapq.heappush(heap, r * n + i)
+        h = before[i]
+        if h >= 0:
+            rank[h] = r = get(piece[h] + joined, -1)
+            if r >= 0:
+                heapq.heappush(heap, r * n + h)
+    return [p for p in piece if p]
+
+
+class Coded(dict):
+    """Word -> (ids joined by commas, decoded bytes): the dictionary, and words merged on demand, bounded."""
+
+    def __init__(self, known: dict[str, tuple[str, bytes]], ranks: dict[bytes, int]):
+        super().__init__(known)
+        self.known, self.ranks = known, ranks
+        self.pieces = {k: p for p, k in ranks.items()}
+
+    def __missing__(self, word: str) -> tuple[str, bytes]:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.update(self.known)
+        ids = [self.ranks[p] for p in merge_pieces(word.encode(), self.ranks)]
+        self[word] = got = (",".join(map(str, ids)), b"".join(self.pieces[i] for i in ids))
+        return got
+
+
+_CODED: dict[int, Coded] = {}
+
+
+def coded_of(key: int, known: dict, ranks: dict[bytes, int]) -> Coded:
+    """The worker's dictionary for a broadcast; it outlives a task when Spark uses the worker again."""
+    if key not in _CODED:
+        _CODED.clear()
+        _CODED[key] = Coded(known, ranks)
+    return _CODED[key]
+
+
+def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", native: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, ids (joined by commas) and decoded (binary)."""
     spark = docs.sparkSession
+    small_batches(spark)
     by_id = [""] * (max(ranks.values()) + 1)
     for piece, k in ranks.items():
         by_id[k] = piece.decode("latin-1")
@@ -115,11 +181,32 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
             break
     common = counted.filter(F.col("n") >= least).repartition(spark.sparkContext.defaultParallelism).select("w")
     coded = common.select("w", _bind(maps, lambda m: _bind(pieces, lambda p: _coded(F.col("w"), m, p))).alias("c")).select("w", "c.i", "c.d")
-    known = {r["w"]: {"i": r["i"], "d": r["d"]} for r in coded.toLocalIterator()}
-    dictionary = F.from_json(F.lit(_bucketed(known, WORD_BUCKETS)), "array<map<string,struct<i:string,d:string>>>")
+    known = {r["w"]: (r["i"], r["d"]) for r in coded.toLocalIterator()}
+    if native:
+        return _native(base, {w: {"i": i, "d": d} for w, (i, d) in known.items()}, words, maps, pieces)
+
+    held = spark.sparkContext.broadcast(({w: (i, d.encode("latin-1")) for w, (i, d) in known.items()}, ranks))
+    # Unicode white space, as the library's pattern engine means it.
+    told, key = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"), uuid.uuid4().int
+
+    def run(batches):
+        import pyarrow as pa
+        import regex
 
+        split, table = regex.compile(told).findall, coded_of(key, *held.value)
+        for b in batches:
+            got = [[table[w] for w in split(t)] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([",".join(i for i, _ in g) for g in got], pa.string()), pa.array([b"".join(d for _, d in g) for g in got], pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids string, decoded binary")
+
+
+def _native(base: DataFrame, known: dict, words: Column, maps: Column, pieces: Column) -> DataFrame:
+    """The pass over the documents in higher-order functions only."""
+    dictionary = F.from_json(F.lit(_bucketed(known, WORD_BUCKETS)), "array<map<string,struct<i:string,d:string>>>")
     one = lambda k, m, p: lambda w: F.coalesce(_found(k, w, WORD_BUCKETS), _coded(w, m, p))
-    done = _bind(dictionary, lambda k: _bind(maps, lambda m: _bind(pieces, lambda p: _bind(F.transform(words, one(k, m, p)), lambda c: F.struct(F.array_join(F.transform(c, lambda x: x["i"]), ",").alias("ids"), F.encode(F.array_join(F.transform(c, lambda x: x["d"]), ""), "ISO-8859-1").alias("decoded"))))))
+    join = lambda c: F.struct(F.array_join(F.transform(c, lambda x: x["i"]), ",").alias("ids"), F.encode(F.array_join(F.transform(c, lambda x: x["d"]), ""), "ISO-8859-1").alias("decoded"))
+    done = _bind(dictionary, lambda k: _bind(maps, lambda m: _bind(pieces, lambda p: _bind(F.transform(words, one(k, m, p)), join))))
     return base.select("doc_id", done.alias("c")).select("doc_id", "c.ids", "c.decoded")
 
 

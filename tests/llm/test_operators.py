@@ -230,7 +230,13 @@ def test_byte_bpe(docs, none, rows):
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = collections.Counter((i, ",".join(map(str, known.encode_ordinary(t or ""))), (t or "").encode()) for i, t in rows)
-    assert collections.Counter((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in byte_bpe.encode_decode(docs, ranks, P.PATTERN).collect()) == want
+    for native in (False, True):
+        assert collections.Counter((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in byte_bpe.encode_decode(docs, ranks, P.PATTERN, native=native).collect()) == want
+    coded, rng = byte_bpe.Coded({}, ranks), random.Random(8)
+    for _ in range(2000):
+        w = "".join(rng.choice("abthe ning\u00e9\U0001f642.,!12") for _ in range(rng.randint(1, 25)))
+        got = coded[w]
+        assert got == (",".join(map(str, known._encode_single_piece(w))), w.encode())
     assert byte_bpe.encode_decode(none, ranks, P.PATTERN).count() == 0
 
 
