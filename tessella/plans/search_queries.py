@@ -9,7 +9,6 @@ from ..operators import fusion as FU
 from ..operators import graph as G
 from ..operators import intents as I
 from ..operators import linking as L
-from ..operators import mentions as M
 from ..operators import search as S
 from .graph_queries import table
 
