@@ -2,19 +2,17 @@
 
 Training counts cover every training document. Words are told apart by 64-bit hashes; each text ends with one end token.
 
-Automaton. State 0 is the empty history; every word with at least one in STATE_SHARE of all training tokens
-is a state, so there are at most STATE_SHARE. An arc leads from a state over a word to that word's state (or to state 0
-if it has none): pairs of state words that make up one in ARC_SHARE of the tokens have an arc with their
-smoothed bigram weight, so there are at most ARC_SHARE; all other words take the failure arc to state 0, which
-costs the state's backoff weight, and leave from there with their unigram weight. Weights are probabilities:
-P(w) = (c(w) - d) / N for known words, d V / N for the unknown one, d from the counts of counts; with an arc
-P(w | h) = (n(h, w) - d2) / c(h) + b(h) P(w), else b(h) P(w), where b(h) is what the arcs' first terms leave.
-One left-to-right traversal carries the state and sums log10 weights.
-
-Scale. The automaton's bounds do not depend on the input and it is broadcast. The unigram table grows with the
-corpus and is never broadcast: documents are dealt into blocks of about BLOCK_BYTES by a hash of the id, a block's
-distinct words meet their counts in a shuffle join, and come back to the block's documents by a cogroup.
-A block's dictionary is bounded by its text.
+Automaton. State 0 is the empty history; every training word is a state, and every word pair of the training documents
+is an arc from its first word's state, with a smoothed bigram weight: none is dropped. All other words take the
+failure arc to state 0, which costs the state's backoff weight, and leave from there with their unigram weight. Weights are
+probabilities: P(w) = (c(w) - d) / N for known words, d V / N for the unknown one, d from the counts of counts; with an arc
+P(w | h) = (n(h, w) - DISCOUNT) / c(h) + b(h) P(w), else b(h) P(w), where b(h) = DISCOUNT * (distinct words after h) / c(h)
+is what the arcs' first terms leave. One left-to-right traversal carries the state and sums log10 weights.
+
+Scale. The counted words and pairs grow with the corpus: they are written tables, never collected or broadcast. Documents
+are dealt into blocks of about BLOCK_BYTES by a hash of the id; a block's distinct words and pairs meet their counts and
+backoff terms in a shuffle join, and come back to the block's documents by a cogroup, so each block traverses
+the part of the automaton that its texts can reach. That part is bounded by the block's text.
 
 Cases: null or empty text is the end token alone; without training documents N and V are 0 and every probability is 1;
 ids may be null or repeat; an empty table gives an empty result.
@@ -29,7 +27,6 @@ from .common import as_bytes, cut, documents, fold, small_batches, text_of
 from .ngram_jaccard import _HASHES
 
 BLOCK_BYTES = 8_000_000
-STATE_SHARE, ARC_SHARE = 10_000, 1_000_000
 #: Taken from each bigram count.
 DISCOUNT = 0.75
 #: The end token is no word, so its hash is that of a byte string no word can be.
@@ -49,8 +46,17 @@ def _tokens(texts: list[bytes]):
     return (np.concatenate(words) if words else np.empty(0, np.uint64)).view(np.int64), np.array(n, np.int64)
 
 
-def _block_words(table):
-    """(block, h, n): the distinct words of a block, with their number in training documents."""
+def _after(n):
+    """Marks tokens that follow another one of their text: n tokens for each text."""
+    import numpy as np
+
+    follows = np.ones(int(n.sum()), bool)
+    follows[np.cumsum(n) - n] = False
+    return follows
+
+
+def _block_grams(table):
+    """(block, pair, a, b, n): the distinct words a (b is 0) and pairs a b of a block, with their number in training documents."""
     import numpy as np
     import pyarrow as pa
 
@@ -58,50 +64,29 @@ def _block_words(table):
     train = np.repeat(table.column("train").to_numpy().astype(np.int64), n)
     distinct, at = np.unique(h, return_inverse=True)
     counts = np.bincount(at, weights=train, minlength=len(distinct)).astype(np.int64)
-    block = pa.repeat(table.column("block")[0], len(distinct))
-    return pa.table([block, pa.array(distinct), pa.array(counts)], ["block", "h", "n"])
+    second = np.flatnonzero(_after(n))
+    cells, where = np.unique(at[second - 1] * len(distinct) + at[second], return_inverse=True)
+    twos = np.bincount(where, weights=train[second], minlength=len(cells)).astype(np.int64)
+    first = np.r_[distinct, distinct[cells // len(distinct)]]
+    other = np.r_[np.zeros(len(distinct), np.int64), distinct[cells % len(distinct)]]
+    block = pa.repeat(table.column("block")[0], len(first))
+    return pa.table([block, pa.array(np.arange(len(first)) >= len(distinct)), pa.array(first), pa.array(other), pa.array(np.r_[counts, twos])], ["block", "pair", "a", "b", "n"])
 
 
-def _pairs(docs: DataFrame, states) -> DataFrame:
-    """(cell, n): how often one state word follows another, in training documents; cell = place of first * size + place of second."""
+def automaton(states, counts, cells, n, total: int, followers=None):
+    """(state hashes, arc cells, arc first terms, backoff by state) from sorted state hashes, their counts, and counted cells.
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        known = states.value
-        total: dict[int, int] = {}
-        for b in batches:
-            h, n = _tokens(as_bytes(b.column("text")))
-            if not len(h):
-                continue
-            at = np.searchsorted(known, h)
-            at[at == len(known)] = 0
-            place = np.where(known[at] == h, at, -1)
-            follows = np.ones(len(h), bool)
-            follows[np.cumsum(n) - n] = False  # a text's first token follows nothing
-            left = np.r_[-1, place[:-1]]
-            ok = follows & (left >= 0) & (place >= 0)
-            cells, c = np.unique(left[ok] * len(known) + place[ok], return_counts=True)
-            for k, v in zip(cells.tolist(), c.tolist()):
-                total[k] = total.get(k, 0) + v
-            if len(total) > 500_000:  # partial sums go out; they are added up downstream
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["cell", "n"])
-                total = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["cell", "n"])
-
-    return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def automaton(states, counts, cells, n, total: int):
-    """(state hashes, arc cells, arc first terms, backoff by state) from sorted state hashes, their counts, and counted cells."""
+    followers: distinct words after each state in the whole corpus, where cells are only some of the arcs."""
     import numpy as np
 
     size = max(1, len(states))
     order = np.argsort(cells)
     cells, n = cells[order], n[order]
     first = (n - DISCOUNT) / counts[cells // size] if len(cells) else np.empty(0)
-    left = 1.0 - np.bincount(cells // size, weights=first, minlength=len(states)) if len(states) else np.empty(0)
+    if followers is not None:
+        left = DISCOUNT * followers / counts
+    else:
+        left = 1.0 - np.bincount(cells // size, weights=first, minlength=len(states)) if len(states) else np.empty(0)
     return states, cells, first, np.maximum(left, 1e-12)
 
 
@@ -137,44 +122,41 @@ def score(docs: DataFrame, train_column, id_col: str = "doc_id", text_col: str =
     volume = base.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-volume // BLOCK_BYTES))
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int"))
-    words = cut(dealt.groupBy("block").applyInArrow(_block_words, "block int, h long, n long"), "words")
-    sums = cut(words.groupBy("h").agg(F.sum("n").alias("c")).filter("c > 0"), "unigrams")
-    s = sums.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("c") == 1, 1)).alias("n1"), F.sum(F.when(F.col("c") == 2, 1)).alias("n2")).first()
+    grams = cut(dealt.groupBy("block").applyInArrow(_block_grams, "block int, pair boolean, a long, b long, n long"), "grams")
+    sums = cut(grams.filter("n > 0").groupBy("pair", "a", "b").agg(F.sum("n").alias("n")), "counts")
+    followers = sums.filter("pair").groupBy("a").agg(F.count(F.lit(1)).alias("after"))
+    unigrams = sums.filter("not pair")
+    s = unigrams.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("n") == 1, 1)).alias("n1"), F.sum(F.when(F.col("n") == 2, 1)).alias("n2")).first()
     total, distinct = s["n"] or 0, s["v"]
     n1, n2 = s["n1"] or 0, s["n2"] or 0
     d = min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 else 0.5))
-    top = sums.filter(F.col("c") * STATE_SHARE >= total).toPandas().sort_values("h")
-    states, counts = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    cells = n = np.empty(0, np.int64)
-    if len(states):
-        known = spark.sparkContext.broadcast(states)
-        arcs = _pairs(base.filter("train"), known).filter(F.col("n") * ARC_SHARE >= total).toPandas()
-        cells, n = arcs["cell"].to_numpy(np.int64), arcs["n"].to_numpy(np.int64)
-    model = spark.sparkContext.broadcast(automaton(states, counts, cells, n, total))
-
     def run(left, right):
         import numpy as np
         import pyarrow as pa
 
         h, n = _tokens(as_bytes(left.column("text").combine_chunks())) if left.num_rows else (np.empty(0, np.int64), np.empty(0, np.int64))
-        key, c = right.column("h").to_numpy(), right.column("c").to_numpy()
-        order = np.argsort(key)
-        key, c = key[order], c[order]
+        pair, first, second, c, after = (right.column(k).to_numpy() for k in ("pair", "a", "b", "n", "after"))
+        order = np.flatnonzero(~pair)[np.argsort(first[~pair])]
+        key, c1, after = first[order], c[order], after[order]
+        cells = np.searchsorted(key, first[pair]) * len(key) + np.searchsorted(key, second[pair])  # words of a counted pair are counted
+        model = automaton(key, c1, cells, c[pair], total, after)
         count = np.zeros(len(h), np.int64)
         if len(key):
             at = np.searchsorted(key, h)
             at[at == len(key)] = 0
-            count = np.where(key[at] == h, c[at], 0)
+            count = np.where(key[at] == h, c1[at], 0)
         starts = np.cumsum(n) - n
         sums = lambda x: np.add.reduceat(x, starts) if len(x) else x
         plain = np.log10((count + 1) / (total + distinct + 1))
         p = np.where(count > 0, (count - d) / max(total, 1), d * distinct / max(total, 1)) if total else np.ones(len(h))
-        got = traverse(h, starts, p, model.value)
+        got = traverse(h, starts, p, model)
         return pa.table([left.column("doc_id"), pa.array(n), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(len(n), total, np.int64)), pa.array(sums(plain)), pa.array(sums(got))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    known_words = words.join(sums, "h").select("block", "h", "c")
-    pairs = dealt.select("doc_id", "text", "block").groupBy("block").cogroup(known_words.groupBy("block"))
+    words = unigrams.join(followers, "a", "left").select("pair", "a", "b", "n", F.coalesce("after", F.lit(0)).alias("after"))
+    told = words.unionByName(sums.filter("pair").withColumn("after", F.lit(0).cast("long")))
+    known = grams.select("block", "pair", "a", "b").join(told, ["pair", "a", "b"]).select("block", "pair", "a", "b", "n", "after")
+    pairs = dealt.select("doc_id", "text", "block").groupBy("block").cogroup(known.groupBy("block"))
     return pairs.applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -255,6 +255,29 @@ def test_lm_scoring(docs, none, rows, monkeypatch):
     assert all(r["base_score"] == 0 and r["score"] == 0 and r["train_tokens"] == 0 for r in empty)
 
 
+def test_lm_scoring_keeps_every_pair(docs, rows, monkeypatch):
+    """The score of each text by all counted words and pairs, however rare, with blocks that hold only some of them."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 40_000)
+    tokens = [(i, (t or "").encode().lower().split() + [b" "]) for i, t in rows]
+    train = [t for i, t in tokens if i is not None and i % 7 != 2]
+    c, c2 = collections.Counter(w for t in train for w in t), collections.Counter(p for t in train for p in zip(t, t[1:]))
+    after, n, v = collections.Counter(a for a, _ in c2), sum(c.values()), len(c)
+    n1, n2 = (sum(k == x for k in c.values()) for x in (1, 2))
+    d, d2 = min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 else 0.5)), lm_scoring.DISCOUNT
+
+    def log(t):
+        out = 0.0
+        for a, w in zip([None, *t], t):
+            p = (c[w] - d) / n if c[w] else d * v / n
+            out += math.log10(p if not c[a] else max(c2[a, w] - d2, 0) / c[a] + d2 * after[a] / c[a] * p)
+        return out
+
+    assert min(c2.values()) == 1 and min(c.values()) * 10_000 < n
+    want = sorted((i is None, i or 0, round(log(t), 6)) for i, t in tokens)
+    got = lm_scoring.score(docs, docs["doc_id"] % 7 != 2).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6)) for r in got) == want
+
+
 def test_automaton_is_a_distribution():
     """From every state the weights of all words and the unknown one sum to 1."""
     import numpy as np
