@@ -2,11 +2,11 @@
 
 1. One scan turns each document into its base counts and its distinct normalised lines (lower-cased, digits as 0,
    runs of white space as one space), as 64-bit hashes with their word counts. This narrow table is written to the shared folder.
-2. For each host and line, the distinct documents that hold it are counted. Copies are no independent documents: each
-   document stands for its family, the smallest hash among its other lines, and families are counted. A line is above the
-   limits when more than MIN_FAMILIES families and more than one in SHARE of the host's documents hold it.
-   Counting families is a two-step group-by with partial aggregation, so a line that a third of all documents
-   hold costs one row per map task and family.
+2. For each host and line, the distinct documents that hold it are counted. Exact copies are one document: those of a
+   host with the same set of normalised lines, told by the hash of the sorted line hashes. A line is above the
+   limits when more than MIN_DOCS distinct documents hold it and these are more than one in SHARE of the host's
+   distinct documents, or more than MANY_DOCS whatever the host's size. Copies are dropped first, by that hash, so a
+   hot host or line is counted by partial aggregation, one row per map task.
 3. Lines above the limits are removed. A document is depleted, and rejected, if fewer than MIN_WORDS words remain
    and at least half of its words are gone.
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut, documents, text_of, without_ids
 
-#: A line is removed if more than MIN_FAMILIES families and more than one in SHARE of the host's documents hold it.
-MIN_FAMILIES, SHARE = 10, 1000
+#: A line is removed if more than MIN_DOCS distinct documents hold it, and more than the lesser of one in SHARE of the host's and MANY_DOCS.
+MIN_DOCS, SHARE, MANY_DOCS = 10, 1000, 1000
 #: Fewest words that a document must have, and must keep.
 MIN_WORDS = 20
 WINDOW, MOST_REPEATED = 8, 30
@@ -89,14 +89,12 @@ def profile(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
 
 def crowded_lines(table: DataFrame) -> DataFrame:
     """(host, h): the lines above the limits."""
-    # The family is the smallest hash among the other lines; a document of one line is its own family by that line.
-    two = F.slice(F.sort_array(F.transform("lines", lambda x: x["h"])), 1, 2)
-    rows = table.withColumn("two", two).select("host", "two", F.explode("lines").alias("x"))
-    family = F.when(F.get("two", F.lit(0)) == F.col("x.h"), F.get("two", F.lit(1))).otherwise(F.get("two", F.lit(0)))
-    families = rows.select("host", F.col("x.h").alias("h"), F.coalesce(family, F.lit(0)).alias("family")).groupBy("host", "h", "family").agg(F.lit(1).alias("one"))
-    held = families.groupBy("host", "h").agg(F.count(F.lit(1)).alias("families")).filter(F.col("families") > MIN_FAMILIES)
-    hosts = table.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    return held.join(hosts, held.host.eqNullSafe(hosts.host)).filter(F.col("families") * SHARE > F.col("docs")).select(held.host, "h")
+    copies = F.xxhash64(F.sort_array(F.transform("lines", lambda x: x["h"])))
+    distinct = cut(table.select("host", "lines", copies.alias("copy")).dropDuplicates(["host", "copy"]).select("host", F.transform("lines", lambda x: x["h"]).alias("hs")), "distinct")
+    held = distinct.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > MIN_DOCS)
+    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    over = (F.col("held") * SHARE > F.col("docs")) | (F.col("held") > MANY_DOCS)
+    return held.join(hosts, held.host.eqNullSafe(hosts.host)).filter(over).select(held.host, "h")
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

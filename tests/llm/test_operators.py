@@ -165,6 +165,29 @@ def test_quality_crowded_lines(spark):
     assert all(got[i]["kept"] and got[i]["n_removed_words"] == 0 for i in range(41, len(rows)))
 
 
+def test_quality_template_lines(spark):
+    """Every line of a template goes, also where all documents share its lowest hash; on a hot host the limit stays bounded."""
+    rng = random.Random(7)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    fixed = [line(5) for _ in range(30)]
+    rows = [("a", "\n".join(fixed + [line(3), line(3)])) for _ in range(200)]
+    rows += [("a", "\n".join([*fixed[:3], line(40)]))] + [("b", line(30)) for _ in range(50)] + [(None, "\n".join(fixed))] * 60
+    df = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.decide(df).collect()}
+    assert all(got[i]["n_removed_words"] == 150 and not got[i]["kept"] for i in range(200))
+    assert got[200]["n_removed_words"] == 15 and got[200]["kept"]
+    assert all(got[i]["n_removed_words"] == 0 and got[i]["kept"] for i in range(201, len(rows)))
+
+
+def test_quality_limit_on_a_hot_host(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SHARE", 2)
+    monkeypatch.setattr(quality_rules, "MANY_DOCS", 40)
+    common = " ".join(f"w{'abcdefghij'[k]}" for k in range(10))
+    own = F.concat_ws(" ", *(F.translate(F.hash("id", F.lit(k)).cast("string"), "-0123456789", "zabcdefghij") for k in range(25)))
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 60, F.concat(F.lit(common + "\n"), own)).otherwise(own).alias("text"), F.lit("h").alias("source"))
+    assert {(r["doc_id"] < 60, r["n_removed_words"]) for r in quality_rules.decide(df).collect()} == {(True, 10), (False, 0)}
+
+
 def test_packing(docs, none, rows):
     from tokenizers import Tokenizer
 
