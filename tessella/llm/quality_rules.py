@@ -1,14 +1,14 @@
 """Quality rules on lines that repeat across documents, in DataFrame functions only.
 
-1. One scan turns each document into its base counts and its distinct normalised lines (lower-cased, digits as 0,
+1. One scan turns each document into its base counts and its normalised lines (lower-cased, digits as 0,
    runs of white space as one space), as 64-bit hashes with their word counts. This narrow table is written to the shared folder.
 2. For each host and line, the distinct documents that hold it are counted. Exact copies are one document: those of a
    host with the same set of normalised lines, told by the hash of the sorted line hashes. A line is above the
    limits when more than MIN_DOCS distinct documents hold it and these are more than one in SHARE of the host's
    distinct documents, or more than MANY_DOCS whatever the host's size. Copies are dropped first, by that hash, so a
    hot host or line is counted by partial aggregation, one row per map task.
-3. Lines above the limits are removed. A document is depleted, and rejected, if fewer than MIN_WORDS words remain
-   and at least half of its words are gone.
+3. Lines above the limits are removed: `decide` counts their words, `keep_good` gives the texts without them. A document
+   is depleted, and rejected, if fewer than MIN_WORDS words remain and at least half of its words are gone.
 
 Base counts (whole text, words `[^\\x20\\x09-\\x0D]+`): see `base_counts`. Windows of 8 words are compared by 64-bit hashes
 after sorting them, so the work for a text of n words is n log n.
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, documents, text_of, without_ids
+from .common import BROADCAST_IDS, SPACE, cut, documents, text_of
 
 #: A line is removed if more than MIN_DOCS distinct documents hold it, and more than the lesser of one in SHARE of the host's and MANY_DOCS.
 MIN_DOCS, SHARE, MANY_DOCS = 10, 1000, 1000
@@ -72,48 +72,76 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def _lines(text: Column) -> Column:
-    """Distinct normalised lines as (h, w): hash and number of words."""
+def _normal(text: Column) -> Column:
+    """The normalised lines, one for each line of the text."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
-    full = F.filter(F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(F.array_distinct(full), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("w")))
+    return F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x))
+
+
+def _lines(text: Column) -> Column:
+    """All normalised lines as (h, w): hash and number of words."""
+    full = F.filter(_normal(text), lambda x: x != "")
+    return F.transform(full, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("w")))
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose normalised form has a hash in gone."""
+    return _bind(_normal(text), lambda plain: F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, F.xxhash64(F.get(plain, i)))), "\n"))
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """The narrow table: doc_id, row, host, base counts and lines, from one scan of the texts."""
+    """The narrow table: doc_id, host, t (hash of the text), base counts and lines, from one scan of the texts."""
     text = F.col("__text")
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_of(text_col).alias("__text"))
     held = held.withColumn("__words", F.filter(F.split("__text", f"[{SPACE}]+", -1), lambda w: w != ""))
-    return held.select("doc_id", "host", *(c.alias(n) for n, c in base_counts(text).items()), _lines(text).alias("lines"))
+    return held.select("doc_id", "host", F.xxhash64("__text").alias("t"), *(c.alias(n) for n, c in base_counts(text).items()), _lines(text).alias("lines"))
 
 
 def crowded_lines(table: DataFrame) -> DataFrame:
     """(host, h): the lines above the limits."""
-    copies = F.xxhash64(F.sort_array(F.transform("lines", lambda x: x["h"])))
-    distinct = cut(table.select("host", "lines", copies.alias("copy")).dropDuplicates(["host", "copy"]).select("host", F.transform("lines", lambda x: x["h"]).alias("hs")), "distinct")
+    sets = table.select("host", F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("hs"))
+    distinct = cut(sets.withColumn("copy", F.xxhash64("hs")).dropDuplicates(["host", "copy"]).select("host", "hs"), "distinct")
     held = distinct.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > MIN_DOCS)
     hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     over = (F.col("held") * SHARE > F.col("docs")) | (F.col("held") > MANY_DOCS)
     return held.join(hosts, held.host.eqNullSafe(hosts.host)).filter(over).select(held.host, "h")
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, the base counts, base_failed, n_removed_words and kept."""
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """One row per row of docs: doc_id, host, t, the base counts, base_failed, n_removed_words, gone (hashes of the removed lines) and kept."""
     table = cut(profile(docs, id_col, text_col, host_col), "profile").withColumn("row", F.monotonically_increasing_id())
     crowded = cut(crowded_lines(table), "crowded")
     lines = table.select("row", "host", F.explode("lines").alias("x")).select("row", "host", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
-    cut_words = lines.join(crowded, lines.host.eqNullSafe(crowded.host) & (lines.h == crowded.h)).groupBy("row").agg(F.sum("w").alias("removed"))
+    cut_words = lines.join(crowded, lines.host.eqNullSafe(crowded.host) & (lines.h == crowded.h)).groupBy("row").agg(F.sum("w").alias("removed"), F.collect_set(lines.h).alias("gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     removed = F.coalesce("removed", F.lit(0)).cast("long")
     depleted = (F.col("n_words") - removed < MIN_WORDS) & (2 * removed >= F.col("n_words"))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return table.join(cut_words, "row", "left").select("doc_id", *counts, failed.alias("base_failed"), removed.alias("n_removed_words"), (~failed & ~depleted).alias("kept"))
+    return table.join(cut_words, "row", "left").select("doc_id", "host", "t", *COUNTS, failed.alias("base_failed"), removed.alias("n_removed_words"), "gone", (~failed & ~depleted).alias("kept"))
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, the base counts, base_failed, n_removed_words and kept."""
+    return _verdicts(docs, id_col, text_col, host_col).select("doc_id", *COUNTS, "base_failed", "n_removed_words", "kept")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that stay, with their own columns. A row without an id is told by nothing and stays only if no such row is rejected."""
-    bad = decide(docs, id_col, text_col, host_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return without_ids(docs, id_col, bad)
+    """The rows of docs that stay, with their own columns, their texts without the lines above the limits.
+
+    Rows are told by id, host and text, so of rows that share an id, or have none, only the rejected ones leave.
+    Texts are only shuffled if there are too many changed rows and lines to broadcast.
+    """
+    told = _verdicts(docs, id_col, text_col, host_col).filter(~F.col("kept") | F.col("gone").isNotNull())
+    changed = told.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("t").alias("__t"), F.when(F.col("kept"), F.col("gone")).alias("__gone")).dropDuplicates(["__id", "__host", "__t"])
+    held = cut(changed.withColumn("__hit", F.lit(True)), "changed")
+    most = held.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.greatest(F.size("__gone"), F.lit(0))), F.lit(0))).first()[0]
+    held = F.broadcast(held) if most <= BROADCAST_IDS else held
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(host_col).cast("string").eqNullSafe(F.col("__host")) & (F.xxhash64(text_of(text_col)) == F.col("__t"))
+    rest = docs.join(held, same, "left").filter(F.col("__hit").isNull() | F.col("__gone").isNotNull())
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(without_lines(text_of(text_col), F.col("__gone")))
+    return rest.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

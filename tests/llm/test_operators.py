@@ -179,6 +179,21 @@ def test_quality_template_lines(spark):
     assert all(got[i]["n_removed_words"] == 0 and got[i]["kept"] for i in range(201, len(rows)))
 
 
+def test_quality_texts_lose_crowded_lines(spark):
+    """Kept texts come without the lines above the limits, with all others as they were; of rows that share an id only the rejected leave."""
+    rng = random.Random(4)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    common, own = line(30), [f"  {line(25)}\n\n{line(3)} 7\r" for _ in range(41)]
+    rows = [(k, f"{common.upper()} \n{t}\n{common}", t) for k, t in enumerate(own[:40])] + [(None, own[40], own[40]), (None, common, None), (80, f"{common}\n" * 3 + "some words more", None), (None, "few", None), (3, "few", None), (None, None, None)]
+    df = spark.createDataFrame([(i, t, None) for i, t, _ in rows], "doc_id long, text string, source string").withColumn("kept", F.lit("clash"))
+    got = quality_rules.keep_good(df)
+    assert got.columns == df.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter((i, t) for i, _, t in rows if t)
+    with pytest.MonkeyPatch.context() as patch:  # the same by a shuffle
+        patch.setattr(quality_rules, "BROADCAST_IDS", 0)
+        assert collections.Counter((r["doc_id"], r["text"]) for r in quality_rules.keep_good(df).collect()) == collections.Counter((i, t) for i, _, t in rows if t)
+
+
 def test_quality_limit_on_a_hot_host(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "SHARE", 2)
     monkeypatch.setattr(quality_rules, "MANY_DOCS", 40)
