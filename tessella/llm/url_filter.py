@@ -3,7 +3,12 @@
 A url's host and path are cut out in DataFrame functions, and the longest fitting rule decides. Where no rule
 fits, host labels are split into words by unigram Viterbi (known words cost their frequency, unknown stretches a
 price for each letter), the path into its tokens, and multinomial naive Bayes over these tokens decides. The
-model is learned from the small labelled word lists below; the last label of a host and numbers say nothing.
+last label of a host and numbers say nothing.
+
+The unigram counts are those of all words of the given texts (`texts`; the query gives documents and the visible text of
+pages) and of the labelled lists below. The counted words are a written table without a bound: all substrings of
+the distinct names in hosts meet it in a join, and each name is split by the words found in it. Words over LONGEST letters,
+the most that a label of a host can have, are not counted. The naive Bayes weights are learned from the labelled lists alone.
 
 Cases: null url, or one without `://`, has an empty host and path and is allowed (the prior); ids may be null or
 repeat; any number of pages of one host is scored row by row; an empty table gives an empty result; only the id and url columns are read.
@@ -19,6 +24,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import checked, cut, documents
+
 #: The rules, as (verdict, host and path beginning).
 RULES = [
     ("allow", "com/"),
@@ -42,18 +49,38 @@ ALLOWED = [
     "university school college library science research museum academy institute education edu course learn",
     "shop store book books music film art photo travel food recipes garden health care",
     "tech code dev data cloud software docs api open source labs project program",
-    "city gov public service community church club center family kids green house work the and tion",
+    "city gov public service community church club center family kids green house",
 ]
 UNKNOWN_LETTER, UNKNOWN_WORD = 11.0, 3.0
+LONGEST = 63
 LETTERS = re.compile(r"[a-z]+").findall
 
 
+def cheapest(name: str, cost: dict[str, float], longest: int) -> tuple[str, ...]:
+    """The cheapest split of a name into known words and unknown stretches; ties take the earlier cut."""
+    best: list[tuple[float, int, bool]] = [(0.0, 0, False)]  # cost, start of the last piece, whether it is unknown
+    for end in range(1, len(name) + 1):
+        so_far, start, unknown = best[end - 1]
+        choice = (so_far + UNKNOWN_LETTER + (0.0 if unknown else UNKNOWN_WORD), start if unknown else end - 1, True)
+        for start in range(max(0, end - longest), end):
+            price = cost.get(name[start:end])
+            if price is not None and best[start][0] + price < choice[0]:
+                choice = (best[start][0] + price, start, False)
+        best.append(choice)
+    out, end = [], len(name)
+    while end:
+        start = best[end][1]
+        out.append(name[start:end])
+        end = start
+    return tuple(out[::-1])
+
+
 class Model:
     """Unigram costs for Viterbi and naive Bayes weights, from labelled token lists."""
 
     def __init__(self, blocked=BLOCKED, allowed=ALLOWED, smoothing: float = 0.5):
         lists = {1: Counter(w for line in blocked for w in line.split()), 0: Counter(w for line in allowed for w in line.split())}
-        both = lists[0] + lists[1]
+        both = self.counts = lists[0] + lists[1]
         total = sum(both.values())
         self.cost = {w: math.log(total / n) for w, n in both.items() if len(w) > 1}
         self.longest = max(map(len, self.cost))
@@ -61,25 +88,7 @@ class Model:
         n = {y: sum(c.values()) + smoothing * size for y, c in lists.items()}
         self.weight = {w: math.log((lists[1][w] + smoothing) / n[1]) - math.log((lists[0][w] + smoothing) / n[0]) for w in both}
         self.prior = math.log(len(blocked) / (len(blocked) + len(allowed))) - math.log(len(allowed) / (len(blocked) + len(allowed)))
-        self.words = lru_cache(200_000)(self._words)
-
-    def _words(self, name: str) -> tuple[str, ...]:
-        """The cheapest split of a name into known words and unknown stretches; ties take the earlier cut."""
-        best: list[tuple[float, int, bool]] = [(0.0, 0, False)]  # cost, start of the last piece, whether it is unknown
-        for end in range(1, len(name) + 1):
-            cost, start, unknown = best[end - 1]
-            choice = (cost + UNKNOWN_LETTER + (0.0 if unknown else UNKNOWN_WORD), start if unknown else end - 1, True)
-            for start in range(max(0, end - self.longest), end):
-                price = self.cost.get(name[start:end])
-                if price is not None and best[start][0] + price < choice[0]:
-                    choice = (best[start][0] + price, start, False)
-            best.append(choice)
-        out, end = [], len(name)
-        while end:
-            start = best[end][1]
-            out.append(name[start:end])
-            end = start
-        return tuple(out[::-1])
+        self.words = lru_cache(200_000)(lambda name: cheapest(name, self.cost, self.longest))
 
     def tokens(self, host: str, path: str) -> list[str]:
         labels = host.split(":")[0].split(".")
@@ -110,24 +119,69 @@ def fitting(host, path, rules):
     return rule, verdict
 
 
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per row of pages: page_id, host, path, rule, verdict, block_score."""
+def visible(html):
+    """The text between the tags of a page, without scripts and styles."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+
+
+def counted_words(texts: DataFrame, model: Model) -> DataFrame:
+    """(w, n): all words of 2 to LONGEST letters a to z in the one column of texts, and those of the model's lists."""
+    words = F.explode(F.split(F.lower(F.col(texts.columns[0])), r"[^\p{L}]+"))
+    known = texts.sparkSession.createDataFrame(list(model.counts.items()), "w string, n long")
+    seen = texts.select(words.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).unionByName(known)
+    return seen.filter(F.col("w").rlike(f"^[a-z]{{2,{LONGEST}}}$")).groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def host_scores(hosts: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """(host, host_score) from distinct hosts and counted words: the summed weights of the words in a host; hosts of weight 0 are left out."""
+    total, weight = words.agg(F.sum("n")).first()[0] or 1, model.weight
+    labels = F.split(F.element_at(F.split("host", ":"), 1), r"\.")
+    named = F.when(F.size(labels) > 1, F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(1)))).otherwise(labels)
+    parts_of = cut(hosts.select("host", F.explode(F.flatten(F.transform(named, lambda x: F.regexp_extract_all(x, F.lit("([a-z]+)"), F.lit(1))))).alias("name")), "names")
+    names = parts_of.select("name").distinct().filter(F.length("name") > 1)
+    starts = F.sequence(F.lit(1), F.length("name") - 1)
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.least(F.length("name") - i + 1, F.lit(LONGEST))), lambda k: F.substring("name", i, k))))
+    found = names.select("name", F.explode(F.array_distinct(pieces)).alias("w")).join(words, "w").groupBy("name").agg(F.collect_list(F.struct("w", "n")).alias("found"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            scores = []
+            for name, known in zip(b.column("name").to_pylist(), b.column("found").to_pylist()):
+                cost = {x["w"]: math.log(total / x["n"]) for x in known}
+                scores.append(sum(weight.get(w, 0.0) for w in cheapest(name, cost, max(map(len, cost)))))
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(scores, pa.float64())], ["name", "x"])
+
+    told, _ = checked(found.mapInArrow(run, "name string, x double").filter("x <> 0"), "scores")
+    return parts_of.join(told, "name").groupBy("host").agg(F.sum("x").alias("host_score"))
+
+
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", texts: DataFrame | None = None) -> DataFrame:
+    """One row per row of pages: page_id, host, path, rule, verdict, block_score. texts: one column, whose words are counted; without it, those of the lists are."""
+    model = Model()
+    prior, weight = model.prior, model.weight
 
     def run(batches):
         import pyarrow as pa
 
-        model = Model()
         for b in batches:
-            scores = [model.score(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
+            rows = zip(b.column("path").to_pylist(), b.column("host_score").to_pylist())
+            scores = [prior + s + sum(weight.get(w, 0.0) for w in LETTERS(p.lower())) for p, s in rows]
             verdicts = [told or ("block" if s > 0 else "allow") for told, s in zip(b.column("told").to_pylist(), scores)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "block_score"])
 
     host, path = parts(pages[url_col].cast("string"))
-    cut = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))
+    held = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))
     rule, told = fitting(F.col("host"), F.col("path"), rules)
     kind = pages.schema[id_col].dataType.simpleString()
-    return cut.select("page_id", "host", "path", rule.alias("rule"), told.alias("told")).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, block_score double")
+    texts = pages.sparkSession.createDataFrame([], "text string") if texts is None else texts
+    scores, _ = checked(host_scores(held.select("host").distinct(), cut(counted_words(texts, model), "vocabulary"), model), "hosts")
+    scored = held.join(scores, "host", "left").select("page_id", "host", "path", rule.alias("rule"), told.alias("told"), F.coalesce("host_score", F.lit(0.0)).alias("host_score"))
+    return scored.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, block_score double")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    texts = documents(spark, sf_dir).select("text").union(pages.select(visible(F.col("html"))))
+    return judge(pages, texts=texts)

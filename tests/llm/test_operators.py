@@ -391,3 +391,16 @@ def test_url_filter(spark):
     assert [got[i] for i in range(len(urls))] == list(urls.values())
     assert url_filter.Model().words("cheapcasinowin") == ("cheap", "casino", "win")
     assert url_filter.judge(df.limit(0)).count() == 0
+
+
+def test_url_filter_counts_words(spark):
+    """Ordinary words of the texts outbid the listed words inside them; listed words still tell where they stand alone."""
+    ordinary = ["canada", "madrid", "essex", "window", "cambridge", "hotels", "alphabet", "trading", "badger", "museo", "winter"]
+    names = [*ordinary, "winterhotels", "wintercasino", "cheap-pills", "x" * 200 + "casino"]
+    df = spark.createDataFrame([(i, f"https://www.{w}.org/a/1") for i, w in enumerate(names)], "page_id long, url string")
+    texts = spark.createDataFrame([(" ".join(w.title() for w in ordinary) + ", den 12.",), (None,), ("",)], "html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, texts=texts).collect()}
+    assert [got[i] for i in range(len(names))] == ["allow"] * 12 + ["block"] * 3
+    page = spark.createDataFrame([("<p class='win'>Win<b>dow</b></p><script>var casino;</script> <style>p{}</style>end",)], "html string")
+    assert page.select(url_filter.visible(F.col("html"))).first()[0].split() == ["Win", "dow", "end"]
+    assert {r["w"]: r["n"] for r in url_filter.counted_words(texts, url_filter.Model()).collect()}["essex"] == 1
