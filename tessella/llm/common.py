@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words, as a regular-expression class body.
@@ -15,13 +15,15 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all runs in one process (tests), a new one."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -31,7 +33,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.written = path
+    return held
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` gave and nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -60,13 +72,17 @@ def as_bytes(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
-    """At most `most` rows (about that many, or all), chosen by a hash of the key alone: no order and no skew."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    share = int(0.95 * most / n * (1 << 20))
-    return rows.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < share).limit(most)
+def drawn(rows: DataFrame, group: str, most: int, *key: str) -> DataFrame:
+    """The rows (group and key columns) with the lowest hashes of the key, at most `most` of each group: the same ones whatever the partitions.
+
+    Two scans: group sizes, then rows below a hash bound that lets about a quarter more than `most` through, ranked among themselves.
+    Groups are the labels of a classifier, so there are few of them."""
+    sizes = F.broadcast(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")))
+    span = 1 << 30
+    near = rows.join(sizes, group).withColumn("__h", F.pmod(F.xxhash64(*key), F.lit(span)))
+    near = near.filter(F.col("__h") <= F.lit(span * (1.25 * most + 40)) / F.col("__n"))
+    order = Window.partitionBy(group).orderBy("__h", *key)
+    return near.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most).select(group, *(k for k in key if k != group))
 
 
 #: Ids are broadcast up to this many rows (about 16 bytes each); beyond, joins shuffle.

@@ -10,7 +10,8 @@ kept back is right in PRECISION of the cases.
 The average is linear, so a word adds a fixed vector of language scores: a worker keeps those of the words it has met (bounded).
 
 Cases: null text, or one without a letter, gets `und` with score 0; null languages teach nothing; without labelled
-rows every text gets `und`; ids may be null or repeat; an empty table gives an empty result.
+rows every text gets `und`; a very long text is read whole; languages of equal score: the first in order of name; ids may be null or
+repeat, each row is predicted; an empty table gives an empty result; only the id, text and lang columns are read, so others may clash.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, fold, small_batches
+from .common import documents, drawn, fold, small_batches
 
-#: Bounds of the training sample: rows, and code points of a row (longer rows are not drawn).
-TRAIN, TRAIN_POINTS = 3000, 20_000
+#: Bounds of the training sample: rows in all, rows of a language at least, and code points of a row (longer rows are not drawn).
+TRAIN, LEAST_ROWS, TRAIN_POINTS = 3000, 20, 20_000
+#: Words of a training example, and examples that training goes through (drawn evenly from those of the sample).
 EXAMPLE, EXAMPLES = 40, 24_000
 BINS, SIZE, GRAMS = 1 << 16, 16, (2, 3, 4)
 EPOCHS, LEAST_STEPS, RATE, KEPT_BACK, PRECISION = 3, 6000, 0.5, 10, 0.98
@@ -163,14 +165,11 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
 def fit(docs: DataFrame):
     """A model from the labelled rows of docs (doc_id, text, lang); None where there are none."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_POINTS))
-    langs = [r["lang"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(500).collect()]
+    langs = labelled.select("lang").distinct().count()
     if not langs:
         return None
-    each = max(20, TRAIN // len(langs))
-    rows = []
-    for lang in langs:  # as many rows of each language
-        rows += [(r["text"], lang) for r in bounded_sample(labelled.filter(F.col("lang") == lang).select("doc_id", "text"), each, "doc_id").toLocalIterator()]
-    return train(sorted(rows))
+    rows = drawn(labelled, "lang", max(LEAST_ROWS, TRAIN // langs), "doc_id", "text")  # as many rows of each language
+    return train(sorted((r["text"], r["lang"]) for r in rows.toLocalIterator()))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -345,7 +345,7 @@ def test_language_id(spark, none):
 
 
 def test_toxicity_grammar():
-    words, begins = toxicity.learn_lexicon([])
+    words, begins = toxicity.learn_lexicon({}, (0, 0), 0)
     tags = toxicity.Tags(words, begins)
     out = lambda t: {(k - 1) for k in toxicity.matches(t, tags)}
     assert out("you are an idiot") == {2}
@@ -355,6 +355,49 @@ def test_toxicity_grammar():
     assert out(None) == out("") == set()
 
 
+def test_toxicity_scores_by_the_four_rules():
+    """The composed table against a plain reading of the rules, token by token, on random clauses."""
+    rng = random.Random(12)
+    model = toxicity.learn_lexicon({}, (0, 0), 0)
+    tags, pool = toxicity.Tags(*model), ["idiot", "trash", "kill", "hurt", "you", "dir", "not", "nie", "said", "the", "tree", "runs", ".", '"', "!"]
+    for _ in range(3000):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 14))]
+        want, clause = set(), []
+        for w in [*words, "."]:
+            if w not in ".!":
+                clause.append(tags[w])
+                continue
+            waits = 0  # tokens that a threat verb still waits for its target
+            for i, tag in enumerate(clause):
+                threat = waits > 0 and tag == toxicity.TARGET
+                if tag == toxicity.INSULT or threat:
+                    recent = lambda what, reach: what in clause[max(0, i - reach) : i]  # noqa: B023, E731
+                    want.add(1 + threat + 2 * recent(toxicity.TARGET, 4) + 4 * recent(toxicity.NEGATION, 3) + 8 * (toxicity.REPORT in clause[:i]) + 16 * (toxicity.INSULT in clause[:i]))
+                waits = 0 if threat else 4 if tag == toxicity.THREAT else max(0, waits - 1)
+            clause = []
+        assert set(toxicity.matches(" ".join(words), tags)) == want, words
+
+
+def test_toxicity_lone_insults_need_labels():
+    weights, quiet = toxicity.class_weights({})
+    tags = toxicity.Tags(*toxicity.learn_lexicon({}, (0, 0), 0))
+    score = lambda t: toxicity.score_of(toxicity.matches(t, tags), weights, quiet)
+    assert score("that clown " * 1) < toxicity.THRESHOLD and score("the clown. " * 500) < toxicity.THRESHOLD
+    assert score("you are an idiot") >= toxicity.THRESHOLD and score("i will kill you") >= toxicity.THRESHOLD
+    assert score("you are not an idiot") < score("you are an idiot")
+    learned, _ = toxicity.class_weights({1: (50, 49), 0: (100, 1)})
+    assert learned[1] > 0.9
+
+
+def test_drawn_does_not_depend_on_partitions(spark):
+    from tessella.llm.common import drawn
+
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("lang"))
+    got = [sorted(tuple(r) for r in drawn(df.repartition(n), "lang", 50, "doc_id").collect()) for n in (3, 7)]
+    assert got[0] == got[1] and collections.Counter(x for x, _ in got[0]) == {"0": 50, "1": 50, "2": 50}
+    assert drawn(df, "lang", 10**6, "doc_id").count() == 20000
+
+
 def test_toxicity_learns(spark, none):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
