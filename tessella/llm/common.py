@@ -80,7 +80,7 @@ def drawn(rows: DataFrame, group: str, most: int, *key: str) -> DataFrame:
     sizes = F.broadcast(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")))
     span = 1 << 30
     near = rows.join(sizes, group).withColumn("__h", F.pmod(F.xxhash64(*key), F.lit(span)))
-    near = near.filter(F.col("__h") <= F.lit(span * (1.25 * most + 40)) / F.col("__n"))
+    near = near.filter(F.col("__h") <= F.lit(span * (1.25 * most + 40)) / F.col("__n")).dropDuplicates([group, *key])
     order = Window.partitionBy(group).orderBy("__h", *key)
     return near.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most).select(group, *(k for k in key if k != group))
 

@@ -447,3 +447,13 @@ def test_url_filter_counts_words(spark):
     page = spark.createDataFrame([("<p class='win'>Win<b>dow</b></p><script>var casino;</script> <style>p{}</style>end",)], "html string")
     assert page.select(url_filter.visible(F.col("html"))).first()[0].split() == ["Win", "dow", "end"]
     assert {r["w"]: r["n"] for r in url_filter.counted_words(texts, url_filter.Model()).collect()}["essex"] == 1
+
+
+def test_ngram_jaccard_passage_in_many_unlinked_documents(spark):
+    """One passage of 60 words in 5,000 documents that are linked with none, and in 20 that are: no pair of the former is compared."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join([passage, *(word() for _ in range(12))])) for i in range(5000)] + [(5000 + i, f"{passage} {word()}") for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i in range(5000)) and {got[i] for i in range(5000, 5020)} == {5000}
