@@ -12,76 +12,156 @@ packed. Pieces are dealt by a hash of the document id into shards of about SHARD
 its own in one task; a shard ends with few open sequences, so the loss is a small constant per
 SHARD_PIECES pieces. Full pieces are sequences by themselves and are not dealt at all.
 
+Ids. Texts of tokenizers that drop white space and join nothing across it (`chunked`, checked on the definition) are encoded by distinct
+chunks, which a worker remembers; any other tokenizer's are encoded whole. The ids are the library's in both cases.
+
 Cases: null text is empty and is packed as its end id alone; very long texts are cut, nothing is dropped; rows that repeat
-an id are packed once for each row; an empty table gives an empty result; only the id and text columns are read.
+an id are packed once for each row; pieces of equal length are taken in row order; an empty table gives an empty result; only the id and text columns are read, so others may clash.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, small_batches, text_of
+from .common import as_bytes, cut, documents, small_batches, text_of
 
 LIMIT, END = 4096, 1
 #: Pieces in a shard, about. The packer keeps counts by gap and stacks of open sequences: memory follows this number only.
 SHARD_PIECES = 50_000
-#: Chunks between white space whose ids a worker remembers.
-CACHE_CHUNKS = 1_200_000
+#: Texts that are encoded together.
+TEXTS_AT_ONCE = 256
+#: Chunks between white space whose ids a worker remembers, and words that go to the library as one text.
+CACHE_CHUNKS, WORDS_AT_ONCE = 1_600_000, 4000
 
 #: ASCII punctuation that may end a chunk; marks of contractions and of special tokens are not among it.
-TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-CHUNKS = re.compile(r"[^ \t-\r]+").findall
+TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: The steps of the one kind of tokenizer for which a text's ids are those of its chunks between ASCII white space, one after another.
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def chunked(definition: str) -> bool:
+    """Whether texts may be encoded by their chunks: the steps are CHUNKED, words have an end mark, and no added token holds white space or letters alone."""
+    held = json.loads(definition)
+    model = held["model"]
+    plain = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["content"].isalpha() and not re.search(r"\s", t["content"]) for t in held["added_tokens"])
+    return plain and all(held[k] == v for k, v in CHUNKED.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"]
 
 
 class Ids(dict):
-    """Chunk of a text between ASCII white space -> its ids as little-endian unsigned 32-bit integers.
-
-    Right for tokenizers that drop white space and join nothing across it.
-    """
+    """Chunk of a text between ASCII white space (UTF-8) -> its ids as little-endian unsigned 32-bit integers, for `chunked` tokenizers."""
 
     def __init__(self, tokenizer, most: int = CACHE_CHUNKS):
+        import numpy as np
+
         super().__init__()
         self.tokenizer, self.most = tokenizer, most
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Adds the chunks of texts. A word of ASCII letters is lower-cased first, as the tokenizer does, and letters and the
-        punctuation after them are always separate words of it, so only new stems and tails are encoded."""
-        import struct
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Adds the chunks of texts.
 
-        new = {c for chunks in texts for c in chunks if c not in self}
+        A word of letters alone whose lower-cased form has letters alone is one word of the tokenizer, and so is apart from the punctuation after it:
+        only new words and tails are encoded, ASCII words in lower case. All other chunks are encoded whole.
+        """
+        new = set(chain.from_iterable(texts)).difference(self)
         if len(self) + 2 * len(new) > self.most:
             self.clear()
-            new = {c for chunks in texts for c in chunks}
-        parts = {}
+            new = set(chain.from_iterable(texts))
+        words, cut_up, odd = set(), [], set()
         for c in new:
-            stem = c.rstrip(TAIL)
-            if len(stem) < len(c) and not stem.isalpha():
-                stem = c
-            parts[c] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, c[len(stem) :])
-        wanted = list({x for pair in parts.values() for x in pair if x and x not in self})
-        for x, got in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
+            if c.isalpha():  # ASCII letters alone
+                stem = c.lower()
+                if stem != c:
+                    cut_up.append((c, stem, b""))
+                words.add(stem)
+                continue
+            word = c.rstrip(TAIL)
+            if word.isascii():
+                fits, stem = word.isalpha() or not word, word.lower()
+            else:
+                shown, stem = word.decode(), word
+                fits = shown.isalpha() and shown.lower().isalpha()
+            if not fits or not word:
+                odd.add(c)
+                continue
+            words.add(stem)
+            if stem != c:
+                tail = c[len(word) :]
+                cut_up.append((c, stem, tail))
+                if tail:
+                    odd.add(tail)
+        self.encode(list(odd.difference(self)))
+        self.encode_words(list(words.difference(self)))
+        for c, stem, tail in cut_up:
+            self[c] = self[stem] + self[tail] if tail else self[stem]
+
+    def encode(self, chunks: list[bytes]) -> None:
+        for c, got in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)):
             ids = got.ids
-            self[x] = struct.pack(f"<{len(ids)}I", *ids)
-        for c, (stem, tail) in parts.items():
-            if c != stem:
-                self[c] = self[stem] + self[tail] if tail else self[stem]
+            self[c] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_words(self, words: list[bytes]) -> None:
+        """Many words as one text, cut at the ids that end a word; where these are not as many as the words, one by one."""
+        import numpy as np
+
+        for first in range(0, len(words), WORDS_AT_ONCE):
+            some = words[first : first + WORDS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            bounds = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(bounds) != len(some) + 1:
+                self.encode(some)
+                continue
+            raw = ids.tobytes()
+            for w, x, y in zip(some, bounds, bounds[1:]):
+                self[w] = raw[x:y]
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        chunks = [t.split() for t in texts]  # bytes: at ASCII white space
+        self.learn(chunks)
+        return [b"".join(map(self.__getitem__, c)) for c in chunks]
+
+
+class WholeTexts:
+    """The ids of whole texts by the library, for all other tokenizers."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        return [struct.pack(f"<{len(got.ids)}I", *got.ids) for got in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
 
-_IDS: dict[int, Ids] = {}
+_IDS: dict[int, Ids | WholeTexts] = {}
 
 
-def ids_of(definition: str) -> Ids:
+def ids_of(definition: str) -> Ids | WholeTexts:
     """The worker's cache for a tokenizer; it outlives a task when Spark uses the worker again."""
     key = zlib.crc32(definition.encode())
     if key not in _IDS:
         from tokenizers import Tokenizer
 
         _IDS.clear()
-        _IDS[key] = Ids(Tokenizer.from_str(definition))
+        tokenizer = Tokenizer.from_str(definition)
+        _IDS[key] = Ids(tokenizer) if chunked(definition) else WholeTexts(tokenizer)
     return _IDS[key]
 
 
@@ -98,13 +178,12 @@ def pieces(docs: DataFrame, definition: str, limit: int = LIMIT, end: int = END,
         ids = ids_of(held.value)
         tail = end.to_bytes(4, "little")
         for b in batches:
-            texts = [CHUNKS(t) for t in b.column("text").to_pylist()]
-            out = [[] for _ in range(6)]
+            texts = as_bytes(b.column("text"))
+            out = [[] for _ in range(5)]
             at = []
-            for first in range(0, len(texts), 64):
-                ids.learn(texts[first : first + 64])
-                for i in range(first, min(first + 64, len(texts))):
-                    whole = b"".join(map(ids.__getitem__, texts[i])) + tail
+            for first in range(0, len(texts), TEXTS_AT_ONCE):
+                for i, got in enumerate(ids.whole(texts[first : first + TEXTS_AT_ONCE]), first):
+                    whole = got + tail
                     for k, start in enumerate(range(0, len(whole), 4 * limit)):
                         part = whole[start : start + 4 * limit]
                         at.append(i)

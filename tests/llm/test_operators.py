@@ -235,6 +235,20 @@ def test_packing(docs, none, rows):
     assert packing.pack(none, definition).count() == 0
 
 
+def test_packing_ids_are_the_librarys():
+    """Distinct chunks against whole texts, on hostile strings: dotted capitals, marks, controls, special tokens, contractions, other white space."""
+    from tokenizers import Tokenizer
+
+    definition = packing.tokenizer_definition()
+    tokenizer, rng = Tokenizer.from_str(definition), random.Random(1)
+    assert packing.chunked(definition) and not packing.chunked(definition.replace('"Lowercase"', '"NFKC"'))
+    pool = [*"ab\u0130Ii\u0131ßéÉüΣςσ.,;!'s \t\n\x0b\x0c\r\x1c\x85\xa0\u2028\u0338\u0301\u0307=<>|1٣５ǅ가가ʰ_-~ﬁ🙂", "<|endoftext|>", "'ll", " the ", " The,", " Straße. ", "\u0130,"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
+    for kind in (packing.Ids(tokenizer, most=2000), packing.WholeTexts(tokenizer)):
+        got = [x for k in range(0, 6000, 300) for x in kind.whole([t.encode() for t in texts[k : k + 300]])]
+        assert all(g == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(t, add_special_tokens=False).ids) for t, g in zip(texts, got))
+
+
 def test_sum_of_squares_takes_the_smallest_sum():
     rng = random.Random(3)
     lengths = [rng.randint(1, 12) for _ in range(300)]
