@@ -307,44 +307,70 @@ def test_lm_scoring(docs, none, rows, monkeypatch):
     assert all(r["base_score"] == 0 and r["score"] == 0 and r["train_tokens"] == 0 for r in empty)
 
 
-def test_lm_scoring_keeps_every_pair(docs, rows, monkeypatch):
-    """The score of each text by all counted words and pairs, however rare, with blocks that hold only some of them."""
-    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 40_000)
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scoring_by_brute_force(docs, rows, monkeypatch, order):
+    """The score of each text by all counted n-grams, however rare, with many blocks and hash ranges."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 9_000)
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 30_000)
     tokens = [(i, (t or "").encode().lower().split() + [b" "]) for i, t in rows]
     train = [t for i, t in tokens if i is not None and i % 7 != 2]
-    c, c2 = collections.Counter(w for t in train for w in t), collections.Counter(p for t in train for p in zip(t, t[1:]))
-    after, n, v = collections.Counter(a for a, _ in c2), sum(c.values()), len(c)
+    counts = [collections.Counter(tuple(t[k : k + size]) for t in train for k in range(len(t) - size + 1)) for size in range(1, order + 1)]
+    c = counts[0]
+    n, v = sum(c.values()), len(c)
     n1, n2 = (sum(k == x for k in c.values()) for x in (1, 2))
-    d, d2 = min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 else 0.5)), lm_scoring.DISCOUNT
-
-    def log(t):
-        out = 0.0
-        for a, w in zip([None, *t], t):
-            p = (c[w] - d) / n if c[w] else d * v / n
-            out += math.log10(p if not c[a] else max(c2[a, w] - d2, 0) / c[a] + d2 * after[a] / c[a] * p)
-        return out
-
-    assert min(c2.values()) == 1 and min(c.values()) * 10_000 < n
+    d = min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 else 0.5))
+    letters = collections.Counter(x for t in train for w in t[:-1] for x in [*w, 256])
+    whole = sum(letters.values()) + 257
+
+    def weight(history, w):
+        if not history:
+            return (c[w,] - d) / n if c[w,] else d * v / n * math.prod((letters[x] + 1) / whole for x in [*w, 256])
+        seen = counts[len(history) - 1][history]
+        lower = weight(history[1:], w)
+        return (counts[len(history)][*history, w] + lm_scoring.PRIOR * lower) / (seen + lm_scoring.PRIOR) if seen else lower
+
+    log = lambda t: sum(math.log10(weight(tuple(t[max(0, k - order + 1) : k]), w)) for k, w in enumerate(t))
+    assert min(counts[1].values()) == 1
     want = sorted((i is None, i or 0, round(log(t), 6)) for i, t in tokens)
-    got = lm_scoring.score(docs, docs["doc_id"] % 7 != 2).collect()
+    got = lm_scoring.score(docs, docs["doc_id"] % 7 != 2, order=order).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6)) for r in got) == want
 
 
+def test_lm_scoring_tells_texts_apart(spark):
+    """Random letters fall below every document, held-out documents below training ones, and passages of the corpus rise above new text."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(800)]
+    text = lambda n: " ".join(vocabulary[min(799, int(rng.expovariate(0.01)))] for _ in range(n))
+    known = [text(100) for _ in range(300)]
+    odd = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(30)]
+    rows = [(i, t, True) for i, t in enumerate(known)] + [(1000 + i, text(98) + " " + odd[i], False) for i in range(30)]
+    rows += [(2000 + i, known[i], False) for i in range(30)] + [(3000 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(100)), False) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_scoring.score(df, F.col("train")).collect()}
+    group = lambda k: [got[i] for i, _, _ in rows if i // 1000 == k]
+    mean = lambda k: sum(group(k)) / len(group(k))
+    assert max(group(3)) < min(group(0) + group(1) + group(2))
+    assert mean(1) < mean(0) and max(group(1)) < min(group(2))
+
+
 def test_automaton_is_a_distribution():
-    """From every state the weights of all words and the unknown one sum to 1."""
+    """From every state the weights of all words and the unknown mass sum to 1."""
     import numpy as np
 
     rng = np.random.default_rng(0)
     text = rng.integers(0, 6, 500)
-    c = np.bincount(text, minlength=6).astype(np.int64)
-    pairs = collections.Counter((int(a), int(b)) for a, b in zip(text, text[1:]) if a < 4 and b < 4)
-    cells = np.array([a * 4 + b for a, b in pairs], np.int64)
-    model = lm_scoring.automaton(np.arange(4, dtype=np.int64), c[:4], cells, np.array(list(pairs.values()), np.int64), 500)
-    p = np.r_[(c - 0.5) / 500, 0.5 * 6 / 500]
-    for state in range(4):
-        h = np.array([x for w in range(7) for x in (state, w)], np.int64)
-        got = lm_scoring.traverse(h, np.arange(0, 14, 2), p[h], model)[1::2]
-        assert abs((10**got).sum() - 1) < 1e-9
+    c = np.bincount(text, minlength=6)
+    pairs = collections.Counter((int(a), int(b)) for a, b in zip(text, text[1:]))
+    c[text[-1]] -= 1  # as a history, the last token has no follower
+    p = np.r_[(c - 0.5) / c.sum(), 0.5 * 6 / c.sum()]
+    for state in range(6):
+        total = 0.0
+        for w in range(7):
+            arcs = [np.array([c[state], c[w] if w < 6 else 0]), np.array([0, pairs[state, w]])]
+            total += 10 ** lm_scoring.traverse(np.array([1.0, p[w]]), np.array([0, 1]), arcs)[1]
+        assert abs(total - 1) < 1e-9
+    keys = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    assert (lm_scoring.unpack_keys(lm_scoring.pack_keys(keys)) == keys).all() and (lm_scoring.unpack_counts(lm_scoring.pack_counts(text)) == text).all()
 
 
 def test_language_id(spark, none):
