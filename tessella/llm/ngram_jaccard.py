@@ -40,7 +40,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checked, cut, discard, documents, small_batches, text_of
+from .common import SPACE, as_bytes, checked, cut, discard, documents, small_batches, text_of
 
 WORDS = 5
 #: A link: PERCENT * |union| <= 100 * |intersection|.
@@ -421,3 +421,14 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+#: The query in SQL: shingles as hashes of their text, all pairs that share one, and the documents reachable from each.
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{SPACE}]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([hash(array_to_string(list_slice(w, i, i + {WORDS - 1}), ' ')) for i in generate_series(1, greatest(1, len(w) - {WORDS - 1}))]) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(b) AS component_id FROM s JOIN reach ON a = doc_id GROUP BY doc_id, len(s)
+"""

@@ -14,7 +14,7 @@ Base counts (whole text, words `[^\\x20\\x09-\\x0D]+`): see `base_counts`. Windo
 after sorting them, so the work for a text of n words is n log n.
 
 Cases: null or empty text has no words and fails the base; a null host is a host of its own; repeated rows of an id
-count as documents each and are decided alike; an empty table gives an empty result; further columns are ignored.
+count as documents each and are decided alike; very long texts are split whole; counts equal to a limit are within it; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, SPACE, cut, documents, text_of
+from .common import BROADCAST_IDS, SPACE, checked, cut, documents, text_of
 
 #: A line is removed if more than MIN_DOCS distinct documents hold it, and more than the lesser of one in SHARE of the host's and MANY_DOCS.
 MIN_DOCS, SHARE, MANY_DOCS = 10, 1000, 1000
@@ -112,8 +112,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """One row per row of docs: doc_id, host, t, the base counts, base_failed, n_removed_words, gone (hashes of the removed lines) and kept."""
-    table = cut(profile(docs, id_col, text_col, host_col), "profile").withColumn("row", F.monotonically_increasing_id())
-    crowded = cut(crowded_lines(table), "crowded")
+    table = cut(profile(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()), "profile")
+    crowded, _ = checked(crowded_lines(table), "crowded")
     lines = table.select("row", "host", F.explode("lines").alias("x")).select("row", "host", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
     cut_words = lines.join(crowded, lines.host.eqNullSafe(crowded.host) & (lines.h == crowded.h)).groupBy("row").agg(F.sum("w").alias("removed"), F.collect_set(lines.h).alias("gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
@@ -147,3 +147,29 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(documents(spark, sf_dir))
 
+
+
+#: The query in SQL, with lines compared by their text.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^{SPACE}]+') AS w FROM d),
+raw AS (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM raw WHERE regexp_matches(x, '[^{SPACE}]') GROUP BY r),
+wins AS (SELECT r, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS x FROM w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS g(i)),
+twice AS (SELECT r, x FROM wins GROUP BY r, x HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM wins JOIN twice USING (r, x), unnest(generate_series(0, {WINDOW - 1})) AS g(k) GROUP BY r),
+norm AS (SELECT r, host, trim(unnest(string_split(regexp_replace(regexp_replace(lower(t), '[0-9]', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)))) AS x FROM d),
+lines AS (SELECT * FROM norm WHERE x <> ''),
+sets AS (SELECT r, coalesce(string_agg(x, chr(10) ORDER BY x), '') AS s FROM (SELECT DISTINCT r, x FROM lines) GROUP BY r),
+hosts AS (SELECT host, count(DISTINCT coalesce(s, '')) AS docs FROM d LEFT JOIN sets USING (r) GROUP BY host),
+held AS (SELECT host, x, count(DISTINCT s) AS n FROM lines JOIN sets USING (r) GROUP BY host, x),
+crowded AS (SELECT held.host, x FROM held JOIN hosts ON held.host IS NOT DISTINCT FROM hosts.host WHERE n > {MIN_DOCS} AND (n * {SHARE} > docs OR n > {MANY_DOCS})),
+gone AS (SELECT r, sum(len(lines.x) - len(replace(lines.x, ' ', '')) + 1) AS n FROM lines JOIN crowded ON lines.x = crowded.x AND lines.host IS NOT DISTINCT FROM crowded.host GROUP BY r),
+c AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
+  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)
+),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND NOT (n_words - n_removed_words < {MIN_WORDS} AND 2 * n_removed_words >= n_words) AS kept FROM f
+"""

@@ -19,4 +19,4 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLES = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op2_quality_rules": quality_rules.SQL, "op7_ngram_jaccard": ngram_jaccard.SQL, "op10_exact_dedup": exact_dedup.SQL}
