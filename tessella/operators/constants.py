@@ -32,10 +32,10 @@ RELATION_NAMES = {
 }
 #: The relations that an entity type has; other types have none.
 TYPE_RELATIONS = {
-    "Disease": ["recommand_eat", "no_eat", "do_eat", "belongs_to", "common_drug", "recommand_drug", "need_check", "has_symptom", "acompany_with"],
+    "Disease": ["has_symptom", "recommand_drug", "common_drug", "need_check", "cure_way", "do_eat", "no_eat", "acompany_with", "belongs_to"],
     "Drug": ["drugs_of"],
-    "Producer": ["drugs_of"],
     "Department": ["belongs_to"],
+    "Producer": ["drugs_of"],
 }
 #: Priorities of mention types, and the type that a dictionary file name stands for.
 TYPE_PRIORITY = {"Drug": 10, "Disease": 9, "Symptom": 8, "Check": 7, "Food": 6, "Department": 5, "Producer": 4, "Deny": 1}
@@ -96,11 +96,15 @@ SECTION_RELATIONS = {
     "发病原因": ["cause"],
     "预防措施": ["prevent"],
 }
+#: Sections that say nothing.
 EMPTY_SECTIONS = ["暂无", "暂无相关信息", "（暂无）", "暂无相关"]
 #: Labels and their headings in a generated description.
 LABEL_HEADINGS = {"Disease": "相关疾病", "Symptom": "相关症状", "Drug": "推荐药品", "Check": "相关检查", "Food": "相关食物"}
-#: Words that route a question to the model or to the language model.
+#: Vague words, which route a question to the model where no mention is near.
 VAGUE_WORDS = ["感觉", "觉得", "有点", "总是", "经常", "有时候"]
+#: Words of a complex question, which route it to the language model.
 COMPLEX_WORDS = ["老是", "经常", "有时候", "偶尔", "有点", "比较", "特别", "非常", "好像", "似乎", "可能", "大概"]
+#: Question words; two or more route to the language model.
 QUESTION_WORDS = ["吗", "呢", "什么", "怎么", "如何", "哪里", "为什么"]
+#: Colloquial phrases, which route to the language model.
 COLLOQUIAL = ["不太舒服", "感觉不对劲", "不知道怎么回事", "该怎么办"]

@@ -53,8 +53,12 @@ def source_counts(sources: DataFrame) -> DataFrame:
     return sources.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sources"), F.count_if(F.col("source_type") == GRAPH).alias("n_graph"), F.count_if(F.col("source_type") == DOCUMENT).alias("n_documents"))
 
 
-def contexts(ranked: DataFrame, most: int = 4000) -> DataFrame:
-    """(query_id, context): graph contents, then numbered documents with their scores, cut at most characters."""
+NOTHING = "【背景知识】暂无相关知识。"
+
+
+def contexts(ranked: DataFrame, most: int = 4000, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, context): graph contents, then numbered documents with their scores, cut at most characters. queries (query_id): also
+    those without a source get a row, which says so."""
     w = Window.partitionBy("query_id", "source_type").orderBy("rank")
     numbered = ranked.withColumn("no", F.row_number().over(w))
     line = F.when(F.col("source_type") == GRAPH, F.col("content")).otherwise(F.concat(F.format_string("\n[%d] (相似度: %.3f)\n", F.col("no"), F.col("score")), F.col("content")))
@@ -62,7 +66,8 @@ def contexts(ranked: DataFrame, most: int = 4000) -> DataFrame:
     g = numbered.withColumn("line", line).groupBy("query_id").agg(of(GRAPH).alias("g"), of(DOCUMENT).alias("d"))
     block = lambda c, head: F.when(F.size(c) > 0, F.concat(F.lit(head), F.array_join(F.transform(c, lambda x: x["line"]), "\n"))).otherwise(F.lit(""))
     text = F.concat(F.lit("【背景知识】"), block("g", "\n\n【知识图谱】\n"), block("d", "\n\n【文档资料】\n"))
-    return g.select("query_id", C.truncated(text, most).alias("context"))
+    told = g.select("query_id", C.truncated(text, most).alias("context"))
+    return told if queries is None else queries.select("query_id").join(told, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(NOTHING)))
 
 
 def prompt(context, marks=None):

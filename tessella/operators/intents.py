@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .constants import INTENT_KEYWORDS, INTENT_TEMPLATES, MODEL_INTENTS, RELATION_WEIGHTS
+from .constants import INTENT_KEYWORDS, INTENT_TEMPLATES, MODEL_INTENTS
 from .graph import literal_map
 
 
@@ -29,10 +29,10 @@ def with_model(voted: DataFrame, least: float = 0.6, labels: dict[str, str] = MO
 
 
 def template(intent: Column, templates: dict = INTENT_TEMPLATES) -> Column:
-    """(relations, hops, prompt) of an intent; an unknown one is `other`, and no relations means all."""
+    """(relations, hops, prompt) of an intent; an unknown one is `other`; null relations mean those of the entities' types."""
     whole = F.lit(None)
-    every = sorted(RELATION_WEIGHTS)
-    make = lambda t: F.struct(F.array(*map(F.lit, t[0] or every)).alias("relations"), F.lit(t[1]).alias("hops"), F.lit(t[2]).alias("prompt"))
+    none = F.lit(None).cast("array<string>")
+    make = lambda t: F.struct((F.array(*map(F.lit, t[0])) if t[0] else none).alias("relations"), F.lit(t[1]).alias("hops"), F.lit(t[2]).alias("prompt"))
     for name, t in templates.items():
         whole = F.when(intent == name, make(t)).otherwise(whole if name != next(iter(templates)) else make(templates["other"]))
     return whole

@@ -5,6 +5,8 @@ A mention is (text_id, start, end, text, etype, ...) with 0-based code-point off
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def surface_forms(dictionary: DataFrame) -> DataFrame:
 
 
 def match(texts: DataFrame, dictionary: DataFrame, engine: str = "join") -> DataFrame:
-    """All occurrences, overlaps included. engine "join": substrings of each dictionary length meet the surfaces in an equi-join;
+    """All occurrences, overlaps included, but for denials of one character between CJK characters. engine "join": substrings of each dictionary length meet the surfaces in an equi-join;
     "automaton": an Aho-Corasick automaton in each worker, for long texts and a dictionary that fits one."""
     forms = surface_forms(dictionary)
     if engine == "automaton":
@@ -28,11 +30,15 @@ def match(texts: DataFrame, dictionary: DataFrame, engine: str = "join") -> Data
     lengths = [r["n"] for r in forms.select(F.length("surface").alias("n")).distinct().orderBy("n").collect()]
     # One row for each place; the lengths are distinct lengths of surfaces, a few dozen at most.
     at = texts.select("text_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)))).alias("start"))
-    pieces = at.select("text_id", "start", F.explode(F.array(*(F.substring("text", F.col("start") + 1, F.lit(n)) for n in lengths)) if lengths else F.array().cast("array<string>")).alias("surface")).distinct()
-    found = pieces.join(forms, "surface")
+    cuts = [F.when(F.col("start") + n <= F.length("text"), F.substring("text", F.col("start") + 1, F.lit(n))) for n in lengths]
+    pieces = at.select("text_id", "text", "start", F.explode(F.array(*cuts) if lengths else F.array().cast("array<string>")).alias("surface")).filter("surface is not null")
+    found = pieces.join(forms, "surface").filter(single_char_ok(F.col("text"), F.col("start"), F.col("etype"), F.col("surface")))
     return found.select("text_id", "start", (F.col("start") + F.length("surface")).alias("end"), F.col("surface").alias("text"), "etype", "name", "kg_id", "is_alias")
 
 
+_CJK = re.compile("[一-龥]").match
+
+
 def _match_automaton(texts: DataFrame, forms: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     held = spark.sparkContext.broadcast([tuple(r) for r in forms.select("surface", "name", "etype", "kg_id", "is_alias").collect()])
@@ -52,7 +58,9 @@ def _match_automaton(texts: DataFrame, forms: DataFrame) -> DataFrame:
             rows = []
             for text_id, text in zip(frame["text_id"], frame["text"]):
                 for last, surface in machine.iter(text) if by and text else ():
-                    rows += [(text_id, last + 1 - len(surface), last + 1, surface, e, n, k, a) for n, e, k, a in by[surface]]
+                    start = last + 1 - len(surface)
+                    inside = len(surface) == 1 and start > 0 and last + 1 < len(text) and _CJK(text[start - 1]) and _CJK(text[last + 1])
+                    rows += [(text_id, start, last + 1, surface, e, n, k, a) for n, e, k, a in by[surface] if not (inside and e == "Deny")]
             yield pd.DataFrame(rows, columns=["text_id", "start", "end", "text", "etype", "name", "kg_id", "is_alias"])
 
     kinds = dict(forms.dtypes)
@@ -120,9 +128,19 @@ def model_items(answers: DataFrame) -> DataFrame:
 
 
 def answer_json(text: Column) -> Column:
-    """The JSON array of an answer: a fenced block, or from the first [ to the last ]."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
-    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(F.regexp_extract(text, r"(?s)(\[.*\])", 1), F.lit("")))
+    """The JSON of an answer: an answer that begins with [ up to the bracket that closes it (all of it if none does), else what stands
+    in a block fenced as json, else in the first closed block of any fence, else null."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    depth = F.aggregate(
+        F.split(t, ""),
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")),
+        lambda s, c: F.struct((s["depth"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)).alias("depth"), (s["at"] + 1).alias("at"), F.when((s["end"] == 0) & (c == "]") & (s["depth"] == 1), s["at"] + 1).otherwise(s["end"]).alias("end")),
+    )
+    balanced = F.when(depth["end"] > 0, F.substring(t, F.lit(1), depth["end"])).otherwise(t)
+    marked = F.regexp_extract(t, r"(?s)```json(.+?)```", 1)
+    fences = F.split(t, "```", -1)
+    inner = F.when(marked != "", marked).when(F.size(fences) >= 3, F.get(fences, F.lit(1)))
+    return F.when(t.startswith("["), balanced).otherwise(F.regexp_replace(inner, r"^\s+|\s+$", ""))
 
 
 def answer_type(raw: Column) -> Column:
@@ -142,10 +160,12 @@ def repair_span(whole: Column, surface: Column, start: Column, end: Column) -> C
 
 def answer_mentions(answers: DataFrame) -> DataFrame:
     """Mentions from language-model answers (text_id, text, answer)."""
-    item = "array<struct<text:string,type:string,start:int,end:int,note:string>>"
+    item = "array<struct<text:string,entity:string,span:string,type:string,entity_type:string,start:int,end:int,note:string>>"
     rows = answers.select("text_id", F.col("text").alias("whole"), F.posexplode(F.from_json(answer_json(F.col("answer")), item)).alias("seq", "x"))
-    start = repair_span(F.col("whole"), F.col("x.text"), F.col("x.start"), F.col("x.end"))
-    got = rows.select("text_id", "seq", start.cast("int").alias("start"), F.col("x.text").alias("text"), answer_type(F.col("x.type")).alias("etype"), F.lit(0.85).alias("confidence"))
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    surface = F.coalesce(filled("x.text"), filled("x.entity"), filled("x.span"))
+    start = repair_span(F.col("whole"), surface, F.col("x.start"), F.col("x.end"))
+    got = rows.select("text_id", "seq", start.cast("int").alias("start"), surface.alias("text"), answer_type(F.coalesce(filled("x.type"), filled("x.entity_type"))).alias("etype"), F.lit(0.85).alias("confidence"))
     return got.filter("start is not null and etype is not null and text <> ''").withColumn("end", F.col("start") + F.length("text"))
 
 
@@ -153,11 +173,13 @@ def fuse(mentions: DataFrame, least: float = 0.5) -> DataFrame:
     """Spans that don't overlap, from mentions of several sources (text_id, start, end, etype, source, confidence).
 
     A left-to-right fold over (start, -end, -source priority): a contained span is skipped, an overlapping one replaces
-    the last if its source has priority, then if it is surer, then if it is longer; else the last stays.
+    the last if its source has priority, then if it is surer, then if it is longer; else the last stays. Then spans less sure than `least`
+    go, so a sure span that lost to an unsure one of a better source doesn't come back. Further columns (text, name, kg_id) are carried.
     """
+    more = [c for c in mentions.columns if c not in ("text_id", "start", "end", "etype", "source", "confidence")]
     rank = F.coalesce(F.element_at(literal_map(SOURCE_PRIORITY), F.col("source")), F.lit(0))
-    row = F.struct(F.col("start"), (-F.col("end")).alias("neg_end"), (-rank).alias("neg_rank"), F.col("etype"), F.col("end"), rank.alias("rank"), F.col("confidence"), F.col("source"))
-    grouped = mentions.filter(F.col("confidence") >= least).groupBy("text_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    row = F.struct(F.col("start"), (-F.col("end")).alias("neg_end"), (-rank).alias("neg_rank"), F.col("etype"), F.col("end"), rank.alias("rank"), F.col("confidence"), F.col("source"), *more)
+    grouped = mentions.groupBy("text_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
     last = lambda acc: F.element_at(acc, -1)
 
     def step(acc: Column, x: Column) -> Column:
@@ -168,7 +190,7 @@ def fuse(mentions: DataFrame, least: float = 0.5) -> DataFrame:
         return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] >= q["end"], F.concat(acc, F.array(x))).when(inside, acc).when(wins, replaced).otherwise(acc)
 
     folded = grouped.select("text_id", F.explode(F.aggregate("all", F.filter("all", lambda x: F.lit(False)), step)).alias("m"))
-    return folded.select("text_id", *(F.col(f"m.{c}").alias(c) for c in ("start", "end", "etype", "source", "confidence")))
+    return folded.filter(F.col("m.confidence") >= least).select("text_id", *(F.col(f"m.{c}").alias(c) for c in ("start", "end", "etype", "source", "confidence", *more)))
 
 
 def coverage(texts: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -210,22 +232,24 @@ def route(texts: DataFrame, min_count: int = 2, long_text: int = 20, min_density
     return texts.withColumn("to_model", to_model).withColumn("to_llm", to_llm)
 
 
-def cascade(texts: DataFrame, dictionary: DataFrame, model=None, llm=None, least: float = 0.1) -> DataFrame:
-    """Fused mentions of the layers that routing asks for. model and llm map a DataFrame (text_id, text) to mentions
-    (text_id, start, end, etype, confidence); each runs on its routed texts only."""
-    first = best_type(without_noise(longest(match(texts, dictionary)))).select("text_id", "start", "end", "etype", F.lit("keyword").alias("source"), F.lit(1.0).alias("confidence"))
+def cascade(texts: DataFrame, dictionary: DataFrame, model=None, llm=None, least: float = 0.1, routed: bool = True) -> DataFrame:
+    """Fused mentions (text_id, start, end, etype, source, confidence, text, name, kg_id) of the layers that routing asks for, or of all
+    layers on all texts if not routed. model and llm map a DataFrame (text_id, text) to mentions
+    (text_id, start, end, etype, confidence); each runs on its routed texts only; `linking.link_results` takes the rows with an id for each."""
+    first = best_type(without_noise(longest(match(texts, dictionary)))).select("text_id", "start", "end", "etype", F.lit("keyword").alias("source"), F.lit(1.0).alias("confidence"), "text", "name", "kg_id")
+    found = lambda layer, source: layer.withColumn("source", F.lit(source)).join(texts.select("text_id", F.col("text").alias("__t")), "text_id").select(*first.columns[:6], F.substring("__t", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast(first.schema["kg_id"].dataType).alias("kg_id"))
     spans = first.groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     known = texts.join(spans, "text_id", "left").withColumn("spans", F.coalesce("spans", empty))
     blank = known.withColumn("n_model", F.lit(None).cast("int")).withColumn("model_confidence", F.lit(None).cast("double"))
     parts, second = [first], None
     if model is not None:
-        second = model(route(blank).filter("to_model").select("text_id", "text")).withColumn("source", F.lit("ner"))
-        parts.append(second.select(first.columns))
+        second = model((route(blank).filter("to_model") if routed else texts).select("text_id", "text"))
+        parts.append(found(second, "ner"))
     if llm is not None:
         stats = second.groupBy("text_id").agg(F.count(F.lit(1)).cast("int").alias("n_model"), F.avg("confidence").alias("model_confidence")) if second is not None else None
         told = blank if stats is None else known.join(stats, "text_id", "left")
-        parts.append(llm(route(told).filter("to_llm").select("text_id", "text")).withColumn("source", F.lit("llm")).select(first.columns))
+        parts.append(found(llm((route(told).filter("to_llm") if routed else texts).select("text_id", "text")), "llm"))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

@@ -103,12 +103,14 @@ def html_links(html: Column) -> Column:
 
 def html_paragraphs(html: Column) -> Column:
     """The text of every paragraph, tags taken out."""
-    return F.transform(F.regexp_extract_all(html, F.lit("<p>([^<]*)"), F.lit(1)), C.strip)
+    inner = F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
+    return F.transform(inner, lambda x: C.strip(F.regexp_replace(x, "<[^>]*>", "")))
 
 
 def html_by_class(html: Column, tag: str, name: str) -> Column:
-    """Inner texts (up to the next tag) of elements of a class."""
-    return F.regexp_extract_all(html, F.lit(f'<{tag}[^>]*class="{name}"[^>]*>([^<]*)'), F.lit(1))
+    """The texts of elements of a class (one among several it may have), the tags inside taken out; elements of one tag don't nest."""
+    inner = F.regexp_extract_all(html, F.lit(rf'(?is)<{tag}\s[^>]*class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</{tag}>'), F.lit(1))
+    return F.transform(inner, lambda x: C.strip(F.regexp_replace(x, "<[^>]*>", "")))
 
 
 def attr_pairs(items: Column, mark: str = "：") -> Column:
@@ -156,7 +158,7 @@ def two_way_cut(text: str, words: set[str], longest: int) -> list[str]:
 
 
 def segmenter(words: list[str]):
-    """A pandas UDF that segments strings by a dictionary, which is bounded and shipped with it."""
+    """A pandas UDF that segments strings by a dictionary, which is shipped with it: some tens of bytes a word in each worker, as any word segmenter holds its lexicon."""
     import pandas as pd
 
     known, longest = set(words), max(map(len, words), default=1)

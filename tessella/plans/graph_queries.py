@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import retrieval as R
 from ..operators import text as TX
-from ..operators.constants import RELATION_WEIGHTS
+from ..operators.constants import INTENT_TEMPLATES, RELATION_NAMES, RELATION_WEIGHTS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -186,7 +187,7 @@ def prune_counts(spark, sf_dir):
     return G.prune(_paths(spark, sf_dir), 0.9)[2]
 
 
-@query("select * from (values (1, ['belongs_to', 'drugs_of']), (2, ['acompany_with', 'belongs_to', 'common_drug', 'cure_way', 'do_eat', 'drugs_of', 'has_symptom', 'need_check', 'no_eat', 'recommand_drug', 'recommand_eat']), (3, ['acompany_with', 'belongs_to', 'common_drug', 'do_eat', 'has_symptom', 'need_check', 'no_eat', 'recommand_drug', 'recommand_eat'])) t(query_id, relations)")
+@query("select * from (values (1, ['belongs_to', 'drugs_of']), (2, ['acompany_with', 'belongs_to', 'common_drug', 'cure_way', 'do_eat', 'drugs_of', 'has_symptom', 'need_check', 'no_eat', 'recommand_drug', 'recommand_eat']), (3, ['acompany_with', 'belongs_to', 'common_drug', 'cure_way', 'do_eat', 'has_symptom', 'need_check', 'no_eat', 'recommand_drug'])) t(query_id, relations)")
 def infer_relations(spark, sf_dir):
     entities = spark.createDataFrame([(1, "Drug"), (1, "Department"), (2, "Food"), (2, "Check"), (3, "Disease")], "query_id int, etype string")
     return G.infer_relations(entities)
@@ -244,3 +245,33 @@ def export_relations_json(spark, sf_dir):
     made = G.export_relations(edges(spark, sf_dir), nodes(spark, sf_dir))
     pairs = F.from_json("rels", "array<struct<start_entity_name:string,end_entity_name:string>>")
     return made.select("start_entity_type", "end_entity_type", "rel_type", F.size(pairs).cast("long").alias("n_pairs"))
+
+
+#: Headings for the labels of this graph.
+HEADINGS = {"Nation": "nations", "Part": "parts", "Customer": "customers"}
+INTENTS = {0: "medication_inquiry", 1: "disease_inquiry", 2: "diet_lifestyle", 3: "other"}
+_listed = lambda names: "[" + ", ".join(f"'{x}'" for x in names) + "]"
+_placed = lambda names, column: f"case {column} " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(names)) + f" else {len(names)} end"
+_named = lambda names, column: f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in names.items()) + f" else {column} end"
+INTENT_SQL = f"""{N_SQL}, {E_SQL}, {DEG_SQL}, {W_SQL}, {SEED_SQL}, {HOP1_SQL},
+plan as (select 'Customer:' || c_custkey as query_id, c_name as entity, case c_custkey % 4 {" ".join(f"when {k} then {_listed(INTENT_TEMPLATES[i][0])}" for k, i in INTENTS.items() if INTENT_TEMPLATES[i][0])}
+  when 3 then case when c_custkey % 8 = 3 then ['belongs_to'] else {_listed(sorted(RELATION_WEIGHTS))} end end as rels, case c_custkey % 4 {" ".join(f"when {k} then '{INTENT_TEMPLATES[i][2]}'" for k, i in INTENTS.items())} end as prompt from customer),
+paths as (select h1.*, {CONF_SQL} as confidence from h1 join plan using (query_id) join n on dst = id left join w using (rel_type) where list_contains(rels, rel_type) qualify row_number() over (partition by query_id, seed order by {CONF_SQL} desc, hop, rel_type, dst, src) <= 30),
+sure as (select * from paths where confidence >= 0.5),
+kept as (select query_id, id, min(hop) as hop, max(confidence) as confidence from (select distinct query_id, seed as id, 0 as hop, 1.0::double as confidence from sure union all select query_id, dst, hop, confidence from sure) group by query_id, id),
+lines as (select query_id, {_placed(HEADINGS, "label")} as spot, sum(count(*)) over (partition by query_id) as n_nodes, label, {_named(HEADINGS, "label")} || '：' || string_agg(name, ', ' order by confidence desc, hop, id) as line from kept join n using (id) group by query_id, label),
+lined as (select query_id, max(n_nodes) as n_nodes, string_agg('  - ' || line, chr(10) order by spot) filter (label in ('Nation', 'Part', 'Customer')) as lines from lines group by query_id),
+counts as (select query_id, rel_type, count(*) as n from (select distinct query_id, src, dst, rel_type from sure) group by query_id, rel_type),
+rels as (select query_id, sum(n) as n_edges, string_agg({_named(RELATION_NAMES, "rel_type")} || '(' || n || '条)', ', ' order by {_placed(RELATION_NAMES, "rel_type")}) as rels from counts group by query_id)
+select query_id, coalesce(n_nodes, 0)::bigint as n_nodes, coalesce(n_edges, 0)::bigint as n_edges,
+  case when n_nodes is null then '{R.NOTHING}' else replace(replace(prompt, '{{entity}}', entity), '{{knowledge}}', lines || chr(10) || '  - 关系类型：' || rels.rels) end as description from plan left join lined using (query_id) left join rels using (query_id)"""
+
+
+@query(f"with {INTENT_SQL}")
+def intent_retrieval(spark, sf_dir):
+    """From a question's intent and entity types to relations, subgraph and text, for every customer as the entity of a question."""
+    e, n = _graph(spark, sf_dir)
+    key = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(_key("Customer", "c_custkey").alias("query_id"), F.element_at(F.array(*(F.lit(i) for i in INTENTS.values())), (key % 4 + 1).cast("int")).alias("intent"))
+    entities = table(spark, sf_dir, "customer").select(_key("Customer", "c_custkey").alias("query_id"), F.col("c_name").alias("name"), F.when(key % 8 == 3, "Department").otherwise("Food").alias("etype"))
+    return R.retrieve(asked, entities, _seeds(spark, sf_dir), e, n, degree_limit=HUB, headings=HEADINGS)

@@ -228,9 +228,9 @@ def intent_model_combine(spark, sf_dir):
     return I.with_model(told).select("conv_id", "turn", "intent", "confidence", "source")
 
 
-@query(f"""with {VOTE_SQL}, t(intent, n_relations, hops) as (values ('symptom_inquiry', 4, 1), ('disease_inquiry', 8, 2), ('medication_inquiry', 4, 1), ('examination_inquiry', 1, 1), ('diet_lifestyle', 3, 1), ('other', 11, 1)) select conv_id, turn, intent, n_relations, hops from w join t using (intent)""")
+@query(f"""with {VOTE_SQL}, t(intent, n_relations, hops) as (values ('symptom_inquiry', 4, 1), ('disease_inquiry', 8, 2), ('medication_inquiry', 4, 1), ('examination_inquiry', 1, 1), ('diet_lifestyle', 3, 1), ('other', 0, 1)) select conv_id, turn, intent, n_relations, hops from w join t using (intent)""")
 def intent_templates(spark, sf_dir):
-    return _voted(spark, sf_dir).withColumn("t", I.template(F.col("intent"))).select("conv_id", "turn", "intent", F.size("t.relations").alias("n_relations"), F.col("t.hops").alias("hops"))
+    return _voted(spark, sf_dir).withColumn("t", I.template(F.col("intent"))).select("conv_id", "turn", "intent", F.coalesce(F.size("t.relations"), F.lit(0)).alias("n_relations"), F.col("t.hops").alias("hops"))
 
 
 @query("""with d as (select doc_id as chunk_id, list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z]+'), lambda x: lower(x))) as t from documents),

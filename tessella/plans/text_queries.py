@@ -120,7 +120,7 @@ def _spans(spark, sf_dir):
 
 SPANS_SQL = """m as (select event_id % 200 as text_id, (event_id * 7 % 40)::int as start, (event_id * 7 % 40 + 1 + event_id * 3 % 9)::int as "end", case when event_id % 2 = 0 then 'Drug' else 'Food' end as etype,
   case user_id % 3 when 0 then 'keyword' when 1 then 'ner' else 'llm' end as source, 0.4::double + (event_id % 7)::double / 10.0::double as confidence from events)"""
-FUSE_SQL = f"""with recursive {SPANS_SQL}, r as (select *, case source when 'keyword' then 3 when 'ner' then 2 else 1 end as rank from m where confidence >= 0.5),
+FUSE_SQL = f"""with recursive {SPANS_SQL}, r as (select *, case source when 'keyword' then 3 when 'ner' then 2 else 1 end as rank from m),
 o as (select *, row_number() over (partition by text_id order by start, -"end", -rank, etype, "end", confidence, source) as k from r),
 f as (select text_id, k, start, "end", etype, rank, confidence, source, 1 as slot from o where k = 1
   union all select o.text_id, o.k,
@@ -129,7 +129,7 @@ f as (select text_id, k, start, "end", etype, rank, confidence, source, 1 as slo
   from (select f.text_id, f.k, f.slot, f.start, f."end", f.etype, f.rank, f.confidence, f.source, o.start >= f."end" as a,
       not (o.start >= f."end") and not (f.start <= o.start and o."end" <= f."end") and (o.rank > f.rank or (o.rank = f.rank and (o.confidence > f.confidence or (o.confidence = f.confidence and o."end" - o.start > f."end" - f.start)))) as w
     from f join o on o.text_id = f.text_id and o.k = f.k + 1) f join o on o.text_id = f.text_id and o.k = f.k + 1)
-select text_id, start, "end", etype, source, confidence from f qualify row_number() over (partition by text_id, slot order by k desc) = 1"""
+select text_id, start, "end", etype, source, confidence from (select * from f qualify row_number() over (partition by text_id, slot order by k desc) = 1) where confidence >= 0.5"""
 
 
 @query(FUSE_SQL)
@@ -227,7 +227,7 @@ def html_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", TX.html_links(F.col("html")).alias("links"))
 
 
-@query(f"select page_id, len(p) as n, array_to_string(list_transform(p, lambda x: {STRIP.format('x')}), '|') as paragraphs from (select page_id, regexp_extract_all(html, '<p>([^<]*)', 1) as p from pages)")
+@query(f"select page_id, len(p) as n, array_to_string(list_transform(p, lambda x: {STRIP.format("regexp_replace(x, '<[^>]*>', '', 'g')")}), '|') as paragraphs from (select page_id, regexp_extract_all(html, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1) as p from pages)")
 def html_paragraphs(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", TX.html_paragraphs(F.col("html")).alias("p"))
     return p.select("page_id", F.size("p").alias("n"), F.array_join("p", "|").alias("paragraphs"))
@@ -261,9 +261,9 @@ def producer_split(spark, sf_dir):
 
 @query("select distinct p_name, replace(p_name, ' ', '|') as cut from part where p_name like '% %'")
 def segment_bidirectional(spark, sf_dir):
-    """Part names without their space, cut by a dictionary of the names' words (one bounded list)."""
+    """Part names without their space, cut by a dictionary of all the names' words, which is broadcast."""
     p = table(spark, sf_dir, "part").select("p_name").distinct()
-    words = [r["w"] for r in p.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().orderBy("w").limit(100_000).collect()]
+    words = [r["w"] for r in p.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().orderBy("w").toLocalIterator()]
     return p.filter("p_name like '% %'").select("p_name", F.array_join(TX.segmenter(words)(F.replace("p_name", F.lit(" "), F.lit(""))), "|").alias("cut"))
 
 

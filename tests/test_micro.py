@@ -195,3 +195,61 @@ def test_graph_round_trip(spark, tmp_path):
 def test_softmax(spark):
     got = one(spark, C.softmax(F.array(F.lit(1.0), F.lit(1.0))))
     assert got == [0.5, 0.5]
+
+
+def test_fusion_filters_after_merging(spark):
+    """An unsure span of a better source takes the place of a sure one, and then goes; names and ids are carried."""
+    rows = [(1, 0, 3, "Drug", "keyword", 0.3, "abc", "n", "k"), (1, 0, 3, "Drug", "llm", 0.9, "abc", None, None), (2, 0, 3, "Drug", "llm", 0.9, "abc", "m", "k2")]
+    df = spark.createDataFrame(rows, 'text_id int, start int, end int, etype string, source string, confidence double, text string, name string, kg_id string')
+    assert [(r["text_id"], r["text"], r["name"], r["kg_id"]) for r in mentions.fuse(df).collect()] == [(2, "abc", "m", "k2")]
+
+
+def test_denial_inside_a_word_is_no_match(spark):
+    words = spark.createDataFrame([("不", [], None, "Deny"), ("痛", [], None, "Symptom")], "name string, aliases array<string>, kg_id string, etype string")
+    texts = spark.createDataFrame([(1, "他不舒服"), (2, "不痛"), (3, "是不，痛了")], "text_id int, text string")
+    for engine in ("join", "automaton"):
+        assert {(r["text_id"], r["text"]) for r in mentions.match(texts, words, engine).collect()} == {(2, "不"), (2, "痛"), (3, "不"), (3, "痛")}
+
+
+def test_answer_shapes(spark):
+    item = '{"text": "ab", "type": "Drug", "start": 0, "end": 2}'
+    cases = {
+        f"[{item}] and [more]": 1, f"```json\n[{item}]\n```": 1, f"see:\n```\n[{item}]\n```\nbye": 1, f'[{{"entity": "ab", "entity_type": "drug", "note": "[x]"}}]': 1,
+        '[{"text": "", "span": "ab", "type": "药品"}]': 1, f"so [{item}]": 0, "": 0, "no json": 0, f"[{item}": 0,
+    }
+    df = spark.createDataFrame([(i, "ab cd", a) for i, a in enumerate(cases)], "text_id int, text string, answer string")
+    got = [r["text_id"] for r in mentions.answer_mentions(df).collect()]
+    assert [got.count(i) for i in range(len(cases))] == list(cases.values())
+
+
+def test_all_layers_feed_linking(spark):
+    texts = spark.createDataFrame([(1, "aspirin and fever"), (2, "aspirn here")], "text_id int, text string")
+    words = spark.createDataFrame([("aspirin", ["asa"], "k1", "Drug"), ("fever", [], None, "Symptom")], "name string, aliases array<string>, kg_id string, etype string")
+    model = lambda df: df.select("text_id", F.lit(0).alias("start"), F.lit(6).alias("end"), F.lit("Drug").alias("etype"), F.lit(0.7).alias("confidence"))
+    found = mentions.cascade(texts, words, model, routed=False).withColumn("mention_id", F.concat_ws(":", "text_id", "start"))
+    links = linking.cascade(found.filter("source <> 'keyword'").select("mention_id", "text"), words)
+    got = {r["mention_id"]: (r["text"], r["kg_id"], r["link_stage"]) for r in linking.link_results(found, links).collect()}
+    assert got == {"1:0": ("aspirin", "k1", None), "1:12": ("fever", None, None), "2:0": ("aspirn", "k1", "edit")}
+
+
+def test_intent_plan_and_names(spark):
+    from tessella.operators import retrieval
+
+    asked = spark.createDataFrame([(1, "examination_inquiry"), (2, "other"), (3, "other"), (4, "nonsense")], "query_id int, intent string")
+    entities = spark.createDataFrame([(2, "x", "Disease"), (3, "y", "Food")], "query_id int, name string, etype string")
+    got = {r["query_id"]: (r["relations"], r["hops"]) for r in retrieval.plan(asked, entities).collect()}
+    assert got[1] == (["need_check"], 1) and "cure_way" in got[2][0] and len(got[2][0]) == 9 and len(got[3][0]) == 11 and len(got[4][0]) == 11
+    names = spark.createDataFrame([(["a", "b", "c", "d"],), (["a"],)], "n array<string>")
+    assert [r[0] for r in names.select(retrieval.entity_names(F.col("n"))).collect()] == ["a、b、c等", "a"]
+
+
+def test_context_of_a_query_without_sources(spark):
+    src = spark.createDataFrame([(1, "graph", "g", 1.0, "y")], "query_id int, source_type string, source_id string, score double, content string")
+    got = {r["query_id"]: r["context"] for r in fusion.contexts(fusion.rerank(src), queries=spark.createDataFrame([(1,), (2,)], "query_id int")).collect()}
+    assert got[2] == fusion.NOTHING and got[1].startswith("【背景知识】\n")
+
+
+def test_paragraphs_keep_nested_text(spark):
+    df = spark.createDataFrame([("<p class='a'>one <b>two</b> three</p><pre>no</pre><P>four</P><div class=\"x box y\">five <i>six</i></div>",)], "h string")
+    assert df.select(text.html_paragraphs(F.col("h"))).first()[0] == ["one two three", "four"]
+    assert df.select(text.html_by_class(F.col("h"), "div", "box")).first()[0] == ["five six"]
