@@ -42,6 +42,7 @@ CACHE_CHUNKS, WORDS_AT_ONCE = 1_600_000, 4000
 
 #: ASCII punctuation that may end a chunk; marks of contractions and of special tokens are not among it.
 TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+APART = re.compile(rb"(?<=[a-z])([,.]+)(?=[ \n])").sub
 #: The steps of the one kind of tokenizer for which a text's ids are those of its chunks between ASCII white space, one after another.
 CHUNKED = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -72,6 +73,7 @@ class Ids(dict):
 
         super().__init__()
         self.tokenizer, self.most = tokenizer, most
+        self.marks = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -134,8 +136,13 @@ class Ids(dict):
             for w, x, y in zip(some, bounds, bounds[1:]):
                 self[w] = raw[x:y]
 
+    def plain(self, text: bytes) -> bytes:
+        """The text with fewer distinct chunks and the same ids: ASCII letters in lower case, a comma or stop after one apart from it. A text in which that could make an added token stays."""
+        low = text.lower()
+        return text if any(m in low for m in self.marks) else APART(rb" \1", low)
+
     def whole(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [t.split() for t in texts]  # bytes: at ASCII white space
+        chunks = [self.plain(t).split() for t in texts]  # bytes: at ASCII white space
         self.learn(chunks)
         return [b"".join(map(self.__getitem__, c)) for c in chunks]
 
