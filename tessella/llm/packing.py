@@ -38,7 +38,7 @@ SHARD_PIECES = 50_000
 #: Texts that are encoded together.
 TEXTS_AT_ONCE = 256
 #: Chunks between white space whose ids a worker remembers, and words that go to the library as one text.
-CACHE_CHUNKS, WORDS_AT_ONCE = 1_600_000, 4000
+CACHE_CHUNKS, WORDS_AT_ONCE = 2_000_000, 4000
 
 #: ASCII punctuation that may end a chunk; marks of contractions and of special tokens are not among it.
 TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -74,6 +74,8 @@ class Ids(dict):
         super().__init__()
         self.tokenizer, self.most = tokenizer, most
         self.marks = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        # ASCII words in lower case pass the steps before the merges unchanged, so a tokenizer without these gives their ids.
+        self.bare = type(tokenizer).from_str(json.dumps(json.loads(tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -112,7 +114,10 @@ class Ids(dict):
                 if tail:
                     odd.add(tail)
         self.encode(list(odd.difference(self)))
-        self.encode_words(list(words.difference(self)))
+        fresh = words.difference(self)
+        ascii_words = [w for w in fresh if w.isascii()]
+        self.encode_words(ascii_words, self.bare)
+        self.encode_words(list(fresh.difference(ascii_words)), self.tokenizer)
         for c, stem, tail in cut_up:
             self[c] = self[stem] + self[tail] if tail else self[stem]
 
@@ -121,13 +126,13 @@ class Ids(dict):
             ids = got.ids
             self[c] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode_words(self, words: list[bytes]) -> None:
+    def encode_words(self, words: list[bytes], tokenizer) -> None:
         """Many words as one text, cut at the ids that end a word; where these are not as many as the words, one by one."""
         import numpy as np
 
         for first in range(0, len(words), WORDS_AT_ONCE):
             some = words[first : first + WORDS_AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             bounds = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             if len(bounds) != len(some) + 1:
                 self.encode(some)
