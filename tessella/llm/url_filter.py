@@ -8,10 +8,12 @@ last label of a host and numbers say nothing.
 The unigram counts are those of all words of the given texts (`texts`; the query gives documents and the visible text of
 pages) and of the labelled lists below. The counted words are a written table without a bound: all substrings of
 the distinct names in hosts meet it in a join, and each name is split by the words found in it. Words over LONGEST letters,
-the most that a label of a host can have, are not counted. The naive Bayes weights are learned from the labelled lists alone.
+the most that a label of a host can have, are not counted. The naive Bayes weights are learned from the labelled lists and from
+urls that a rule decides: of TRAIN urls of each verdict (those with the lowest hashes), the words in which the verdicts differ beyond chance (G2 above
+2 ln(words / ALPHA)) count as words of that many more documents. Words that the rules themselves name tell which rule fitted and teach nothing.
 
-Cases: null url, or one without `://`, has an empty host and path and is allowed (the prior); ids may be null or
-repeat; any number of pages of one host is scored row by row; an empty table gives an empty result; only the id and url columns are read.
+Cases: null url, or one without `://`, has an empty host and path and is allowed (the prior); a score of 0 (a tie) allows; very long urls are read whole, their
+names split up to LONGEST letters a word; ids may be null or repeat, each row is judged; any number of pages of one host is scored row by row; an empty table gives an empty result; only the id and url columns are read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, cut, documents
+from .common import checked, cut, documents, drawn
 
 #: The rules, as (verdict, host and path beginning).
 RULES = [
@@ -53,6 +55,8 @@ ALLOWED = [
 ]
 UNKNOWN_LETTER, UNKNOWN_WORD = 11.0, 3.0
 LONGEST = 63
+#: Urls of each verdict that teach, and the chance that a word is taken by accident.
+TRAIN, ALPHA = 20_000, 0.01
 LETTERS = re.compile(r"[a-z]+").findall
 
 
@@ -88,8 +92,26 @@ class Model:
         n = {y: sum(c.values()) + smoothing * size for y, c in lists.items()}
         self.weight = {w: math.log((lists[1][w] + smoothing) / n[1]) - math.log((lists[0][w] + smoothing) / n[0]) for w in both}
         self.prior = math.log(len(blocked) / (len(blocked) + len(allowed))) - math.log(len(allowed) / (len(blocked) + len(allowed)))
+        self.smoothing = smoothing
         self.words = lru_cache(200_000)(lambda name: cheapest(name, self.cost, self.longest))
 
+    def learn(self, seen: dict[str, tuple[int, int]], urls: tuple[int, int], own: set[str]) -> None:
+        """Weights with words of decided urls: word -> (allowed, blocked) urls that hold it, among (allowed, blocked) in all; own words are left out."""
+        total = sum(urls)
+        if not all(urls):
+            return
+        limit = 2 * math.log((len(seen) + 1) / ALPHA)
+
+        def gain(n: tuple[int, int]) -> float:
+            here = sum(n)
+            cells = [(n[y], here * urls[y] / total) for y in (0, 1)] + [(urls[y] - n[y], (total - here) * urls[y] / total) for y in (0, 1)]
+            return 2 * sum(o * math.log(o / e) for o, e in cells if o)
+
+        for w, n in seen.items():
+            if w not in own and gain(n) > limit:
+                a, b = ((n[y] + self.smoothing) / (urls[y] + 2 * self.smoothing) for y in (0, 1))
+                self.weight[w] = self.weight.get(w, 0.0) + math.log(b / a)
+
     def tokens(self, host: str, path: str) -> list[str]:
         labels = host.split(":")[0].split(".")
         named = labels[:-1] if len(labels) > 1 else labels
@@ -132,9 +154,9 @@ def counted_words(texts: DataFrame, model: Model) -> DataFrame:
     return seen.filter(F.col("w").rlike(f"^[a-z]{{2,{LONGEST}}}$")).groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def host_scores(hosts: DataFrame, words: DataFrame, model: Model) -> DataFrame:
-    """(host, host_score) from distinct hosts and counted words: the summed weights of the words in a host; hosts of weight 0 are left out."""
-    total, weight = words.agg(F.sum("n")).first()[0] or 1, model.weight
+def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, words) from distinct hosts and counted words: the words into which the names of a host split; hosts without one are left out."""
+    total = words.agg(F.sum("n")).first()[0] or 1
     labels = F.split(F.element_at(F.split("host", ":"), 1), r"\.")
     named = F.when(F.size(labels) > 1, F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(1)))).otherwise(labels)
     parts_of = cut(hosts.select("host", F.explode(F.flatten(F.transform(named, lambda x: F.regexp_extract_all(x, F.lit("([a-z]+)"), F.lit(1))))).alias("name")), "names")
@@ -147,37 +169,43 @@ def host_scores(hosts: DataFrame, words: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            scores = []
+            split = []
             for name, known in zip(b.column("name").to_pylist(), b.column("found").to_pylist()):
                 cost = {x["w"]: math.log(total / x["n"]) for x in known}
-                scores.append(sum(weight.get(w, 0.0) for w in cheapest(name, cost, max(map(len, cost)))))
-            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(scores, pa.float64())], ["name", "x"])
+                split.append(list(cheapest(name, cost, max(map(len, cost)))))
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(split, pa.list_(pa.string()))], ["name", "split"])
 
-    told, _ = checked(found.mapInArrow(run, "name string, x double").filter("x <> 0"), "scores")
-    return parts_of.join(told, "name").groupBy("host").agg(F.sum("x").alias("host_score"))
+    told, _ = checked(found.mapInArrow(run, "name string, split array<string>"), "splits")
+    return parts_of.join(told, "name").groupBy("host").agg(F.flatten(F.collect_list("split")).alias("words"))
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", texts: DataFrame | None = None) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, block_score. texts: one column, whose words are counted; without it, those of the lists are."""
-    model = Model()
+    spark, model = pages.sparkSession, Model()
+    host, path = parts(pages[url_col].cast("string"))
+    held = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))
+    rule, told = fitting(F.col("host"), F.col("path"), rules)
+    kind = pages.schema[id_col].dataType.simpleString()
+    texts = spark.createDataFrame([], "text string") if texts is None else texts
+    found, _ = checked(host_words(held.select("host").distinct(), cut(counted_words(texts, model), "vocabulary")), "hosts")
+    in_path = F.regexp_extract_all(F.lower("path"), F.lit("([a-z]+)"), F.lit(1))
+    decided = drawn(held.select("host", "path", told.alias("told")).filter("told is not null").distinct(), "told", TRAIN, "host", "path")
+    decided = decided.join(found, "host", "left").select("told", F.array_distinct(F.concat(F.coalesce("words", F.array().cast("array<string>")), in_path)).alias("words"))
+    urls = {r["told"]: r["n"] for r in decided.groupBy("told").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = decided.select("told", F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("told") == "allow").alias("allow"), F.count_if(F.col("told") == "block").alias("block"))
+    model.learn({r["w"]: (r["allow"], r["block"]) for r in counts.collect()}, (urls.get("allow", 0), urls.get("block", 0)), {w for _, r in rules for w in LETTERS(r)})
     prior, weight = model.prior, model.weight
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = zip(b.column("path").to_pylist(), b.column("host_score").to_pylist())
-            scores = [prior + s + sum(weight.get(w, 0.0) for w in LETTERS(p.lower())) for p, s in rows]
+            rows = zip(b.column("path").to_pylist(), b.column("words").to_pylist())
+            scores = [prior + sum(weight.get(w, 0.0) for w in (words or [])) + sum(weight.get(w, 0.0) for w in LETTERS(p.lower())) for p, words in rows]
             verdicts = [told or ("block" if s > 0 else "allow") for told, s in zip(b.column("told").to_pylist(), scores)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "block_score"])
 
-    host, path = parts(pages[url_col].cast("string"))
-    held = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))
-    rule, told = fitting(F.col("host"), F.col("path"), rules)
-    kind = pages.schema[id_col].dataType.simpleString()
-    texts = pages.sparkSession.createDataFrame([], "text string") if texts is None else texts
-    scores, _ = checked(host_scores(held.select("host").distinct(), cut(counted_words(texts, model), "vocabulary"), model), "hosts")
-    scored = held.join(scores, "host", "left").select("page_id", "host", "path", rule.alias("rule"), told.alias("told"), F.coalesce("host_score", F.lit(0.0)).alias("host_score"))
+    scored = held.join(found, "host", "left").select("page_id", "host", "path", rule.alias("rule"), told.alias("told"), "words")
     return scored.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, block_score double")
 
 

@@ -497,3 +497,15 @@ def test_ngram_jaccard_passage_in_many_unlinked_documents(spark):
     rows = [(i, " ".join([passage, *(word() for _ in range(12))])) for i in range(5000)] + [(5000 + i, f"{passage} {word()}") for i in range(20)]
     got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == i for i in range(5000)) and {got[i] for i in range(5000, 5020)} == {5000}
+
+
+def test_url_filter_learns_from_decided_urls(spark):
+    """A word of urls that the rules block tells of other urls; words that the rules name, and words of both verdicts, don't."""
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:04d}")
+    rows = [f"http://zork.{word(k)}.example.com/en/{word(k)}" for k in range(200)] + [f"http://{word(k)}.shop{'' if k % 2 else '.sub'}.com/de/both" for k in range(200)]
+    rows += ["http://zork.fine.org/x/1", "http://www.fine.org/en/both", "http://shop.fine.org/en/1"]
+    texts = spark.createDataFrame([("zork shop sub fine both " * 50,)], "text string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), texts=texts).collect()}
+    assert [got[i] for i in (400, 401, 402)] == ["block", "allow", "allow"] and len(got) == 403
+    repeated = spark.createDataFrame([(1, "http://zork.fine.org/1"), (1, "http://zork.fine.org/1"), (None, "http://" + "x" * 30000 + ".org/" + "y" * 30000)], "page_id long, url string")
+    assert url_filter.judge(repeated).count() == 3
