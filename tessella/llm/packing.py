@@ -42,7 +42,8 @@ CACHE_CHUNKS, WORDS_AT_ONCE = 2_000_000, 4000
 
 #: ASCII punctuation that may end a chunk; marks of contractions and of special tokens are not among it.
 TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-DOTTED = "\u0130".encode()
+#: First bytes of the marks that may compose with an ASCII letter before it is put in lower case (U+0300 to U+036F).
+MARKS = (b"\xcc", b"\xcd")
 APART = re.compile(rb"(?<=[a-z])([,.]+)(?=[ \n])").sub
 #: The steps of the one kind of tokenizer for which a text's ids are those of its chunks between ASCII white space, one after another.
 CHUNKED = {
@@ -143,15 +144,15 @@ class Ids(dict):
                 self[w] = raw[x:y]
 
     def plain(self, text: bytes) -> bytes:
-        """The text with fewer distinct chunks and the same ids: ASCII letters in lower case, a comma or stop after one apart from it. A text in which that could make an added token stays."""
+        """The text with fewer distinct chunks and the same ids: ASCII letters in lower case, a comma or stop after one apart from it. A text stays in which that could make an added token, or
+        in which a capital may compose with a mark first."""
         low = text.lower()
-        return text if any(m in low for m in self.marks) else APART(rb" \1", low)
+        return text if any(m in low for m in (*MARKS, *self.marks)) else APART(rb" \1", low)
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
-        # A dotted capital I becomes two characters in lower case, whose order among further marks hangs on the text around: such texts go to the library as they are.
-        chunks = [None if DOTTED in t else self.plain(t).split() for t in texts]  # bytes: at ASCII white space
-        self.learn([c for c in chunks if c is not None])
-        return [WholeTexts(self.tokenizer).whole([t])[0] if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, chunks)]
+        chunks = [self.plain(t).split() for t in texts]  # bytes: at ASCII white space
+        self.learn(chunks)
+        return [b"".join(map(self.__getitem__, c)) for c in chunks]
 
 
 class WholeTexts:
