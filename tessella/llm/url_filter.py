@@ -160,10 +160,12 @@ def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
     labels = F.split(F.element_at(F.split("host", ":"), 1), r"\.")
     named = F.when(F.size(labels) > 1, F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(1)))).otherwise(labels)
     parts_of = cut(hosts.select("host", F.explode(F.flatten(F.transform(named, lambda x: F.regexp_extract_all(x, F.lit("([a-z]+)"), F.lit(1))))).alias("name")), "names")
-    names = parts_of.select("name").distinct().filter(F.length("name") > 1)
-    starts = F.sequence(F.lit(1), F.length("name") - 1)
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.least(F.length("name") - i + 1, F.lit(LONGEST))), lambda k: F.substring("name", i, k))))
-    found = names.select("name", F.explode(F.array_distinct(pieces)).alias("w")).join(words, "w").groupBy("name").agg(F.collect_list(F.struct("w", "n")).alias("found"))
+    names = parts_of.select("name").distinct().filter(F.length("name") > 1).withColumn("k", F.xxhash64("name"))
+    # A name's substrings by way of its windows of LONGEST letters, so that no row grows with the square of a long name.
+    windows = names.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i, F.lit(LONGEST)))).alias("window"))
+    pieces = windows.select("k", F.explode(F.transform(F.sequence(F.lit(2), F.length("window")), lambda n: F.substring("window", F.lit(1), n))).alias("w"))
+    known = pieces.join(words, "w").groupBy("k").agg(F.collect_set(F.struct("w", "n")).alias("found"))
+    found = names.join(known, "k").select("name", "found")
 
     def run(batches):
         import pyarrow as pa
