@@ -494,7 +494,7 @@ def test_ngram_jaccard_passage_in_many_unlinked_documents(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     passage = " ".join(word() for _ in range(60))
-    rows = [(i, " ".join([passage, *(word() for _ in range(12))])) for i in range(5000)] + [(5000 + i, f"{passage} {word()}") for i in range(20)]
+    rows = [(i, " ".join([passage, *(word() for _ in range(16))])) for i in range(5000)] + [(5000 + i, f"{passage} {word()}") for i in range(20)]
     got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == i for i in range(5000)) and {got[i] for i in range(5000, 5020)} == {5000}
 
