@@ -2,6 +2,10 @@
 
 Every stage takes what its predecessor kept, written as Parquet and read again, and all but the last return the
 columns of documents.
+
+Cases, as the operators define them: null and empty texts leave at the quality rules (too few words); very long texts are read whole, and cut only
+into packed pieces; of equal texts the one with the most code points, then the smallest id stays, of a linked group the smallest id; rows are told by id and text
+by the quality rules and the n-gram join; an empty table gives an empty result; further columns are carried up to the last stage.
 """
 
 from __future__ import annotations
