@@ -14,6 +14,10 @@ from .constants import ANSWER_TYPES, COLLOQUIAL, COMPLEX_WORDS, MODEL_TYPES, QUE
 from .graph import literal_map
 
 
+#: Surfaces that an automaton holds at most, some hundred bytes each in every worker.
+AUTOMATON_FORMS = 500_000
+
+
 def surface_forms(dictionary: DataFrame) -> DataFrame:
     """(surface, name, etype, kg_id, is_alias) of a dictionary (name, aliases, kg_id, etype)."""
     main = dictionary.select(F.col("name").alias("surface"), "name", "etype", "kg_id", F.lit(False).alias("is_alias"))
@@ -23,9 +27,9 @@ def surface_forms(dictionary: DataFrame) -> DataFrame:
 
 def match(texts: DataFrame, dictionary: DataFrame, engine: str = "join") -> DataFrame:
     """All occurrences, overlaps included, but for denials of one character between CJK characters. engine "join": substrings of each dictionary length meet the surfaces in an equi-join;
-    "automaton": an Aho-Corasick automaton in each worker, for long texts and a dictionary that fits one."""
+    "automaton": an Aho-Corasick automaton in each worker, for long texts and a dictionary of at most AUTOMATON_FORMS surfaces; a larger one is joined."""
     forms = surface_forms(dictionary)
-    if engine == "automaton":
+    if engine == "automaton" and forms.count() <= AUTOMATON_FORMS:
         return _match_automaton(texts, forms)
     lengths = [r["n"] for r in forms.select(F.length("surface").alias("n")).distinct().orderBy("n").collect()]
     # One row for each place; the lengths are distinct lengths of surfaces, a few dozen at most.

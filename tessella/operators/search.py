@@ -15,6 +15,10 @@ from ..functions import columns as C
 
 #: Queries that are compared with a table at once.
 QUERY_BLOCK = 10_000
+#: Rows (query, token) that are broadcast at most, some tens of bytes each.
+BROADCAST_TOKENS = 1_000_000
+#: Chunks of a token in one row of the inverted index, about, at most.
+POSTINGS = 100_000
 
 
 def filtered(chunks: DataFrame, **allowed: list | None) -> DataFrame:
@@ -48,23 +52,29 @@ def top_k(scores: DataFrame, k: int, *by: str) -> DataFrame:
 def keyword_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) by token overlap, from an inverted-list join on distinct tokens.
 
-    queries: (query_id, tokens), chunks: (chunk_id, tokens). Only pairs with a token in common are made.
+    queries: (query_id, tokens), chunks: (chunk_id, tokens). Only pairs with a token in common are made. Up to BROADCAST_TOKENS rows the query side is
+    broadcast: no token of a chunk is shuffled, and a chunk's hits are summed where it lies. Beyond it the sides meet by token, hot ones split at run time.
     """
     asked = queries.select("query_id", F.size("tokens").alias("n_query"), F.explode("tokens").alias("token")).groupBy("query_id", "n_query", "token").agg(F.count(F.lit(1)).alias("times"))
+    if asked.count() <= BROADCAST_TOKENS:
+        asked = F.broadcast(asked)
     held = chunks.select("chunk_id", F.array_distinct("tokens").alias("t")).select("chunk_id", F.size("t").alias("n_doc"), F.explode("t").alias("token"))
     hits = held.join(asked, "token").groupBy("query_id", "chunk_id", "n_query", "n_doc").agg(F.sum("times").alias("hits"))
     return hits.select("query_id", "chunk_id", F.round(F.col("hits") / F.greatest("n_query", "n_doc"), 6).alias("score"))
 
 
-def inverted_index(chunks: DataFrame) -> DataFrame:
-    """(token, postings): for each token the sorted chunks that hold it."""
-    return chunks.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.array_sort(F.collect_list("chunk_id")).alias("postings"))
+def inverted_index(chunks: DataFrame, block: int = POSTINGS) -> DataFrame:
+    """(token, block, postings): for each token the chunks that hold it, dealt by a hash into blocks of about `block` at most and sorted in each, so no row grows with a hot token."""
+    blocks = max(1, -(-chunks.count() // block))
+    held = chunks.select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("block"), F.explode(F.array_distinct("tokens")).alias("token"))
+    return held.groupBy("token", "block").agg(F.array_sort(F.collect_list("chunk_id")).alias("postings"))
 
 
 def keyword_prefilter(pairs: DataFrame, flag: Column) -> DataFrame:
-    """Of each query's candidates those with the flag, or all of them if none has it."""
-    w = Window.partitionBy("query_id")
-    return pairs.withColumn("__hit", flag.cast("int")).withColumn("__any", F.max("__hit").over(w)).filter((F.col("__hit") == 1) | (F.col("__any") == 0)).drop("__hit", "__any")
+    """Of each query's candidates those with the flag, or all of them if none has it. Only the queries with a hit are grouped; candidates stay where they are."""
+    told = pairs.withColumn("__hit", F.coalesce(flag, F.lit(False)))
+    answered = told.filter("__hit").select("query_id").distinct().withColumn("__any", F.lit(True))
+    return told.join(answered, "query_id", "left").filter("__hit or __any is null").drop("__hit", "__any")
 
 
 def hybrid_scores(vector: DataFrame, keyword: DataFrame, vector_weight: float = 0.7, keyword_weight: float = 0.3) -> DataFrame:

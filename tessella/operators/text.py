@@ -157,8 +157,40 @@ def two_way_cut(text: str, words: set[str], longest: int) -> list[str]:
     return b if sum(len(x) == 1 for x in b) < sum(len(x) == 1 for x in f) else f
 
 
+#: Words that are shipped to the workers at most, some tens of bytes each.
+SHIPPED_WORDS = 500_000
+
+
+def segment(texts: DataFrame, words: DataFrame, text_col: str = "text", shipped: int = SHIPPED_WORDS) -> DataFrame:
+    """texts with `cut`, their two-way segmentation by the words in the one column of words.
+
+    Up to `shipped` words go to the workers. More stay a table: the substrings of each distinct text meet it in a join, and
+    a text is cut by the words found in it, which gives the same cut. A null text has a null cut.
+    """
+    known = words.select(F.col(words.columns[0]).alias("__w")).filter("__w <> ''").distinct()
+    size, longest = known.agg(F.count(F.lit(1)), F.max(F.length("__w"))).first()
+    if size <= shipped:
+        return texts.withColumn("cut", segmenter([r["__w"] for r in known.orderBy("__w").toLocalIterator()])(F.col(text_col)))
+    alone = texts.select(F.col(text_col).alias("__t")).filter(F.length("__t") > 1).distinct()
+    windows = alone.select("__t", F.explode(F.transform(F.sequence(F.lit(1), F.length("__t") - 1), lambda i: F.substring("__t", i, F.lit(longest)))).alias("__x"))
+    pieces = windows.select("__t", F.explode(F.transform(F.sequence(F.lit(2), F.length("__x")), lambda n: F.substring("__x", F.lit(1), n))).alias("__w"))
+    found = pieces.join(known, "__w", "left_semi").groupBy(F.col("__t").alias(text_col)).agg(F.collect_set("__w").alias("__found"))
+    return texts.join(found, text_col, "left").withColumn("cut", _cut_by_found()(F.col(text_col), F.col("__found"))).drop("__found")
+
+
+def _cut_by_found():
+    import pandas as pd
+
+    def cut(texts, found):
+        sets = ([] if words is None else list(words) for words in found)
+        return pd.Series([None if t is None else two_way_cut(t, set(words), max(map(len, words), default=1)) for t, words in zip(texts, sets)], dtype=object)
+
+    cut.__annotations__ = {"texts": pd.Series, "found": pd.Series, "return": pd.Series}
+    return F.pandas_udf(cut, T.ArrayType(T.StringType()))
+
+
 def segmenter(words: list[str]):
-    """A pandas UDF that segments strings by a dictionary, which is shipped with it: some tens of bytes a word in each worker, as any word segmenter holds its lexicon."""
+    """A pandas UDF that segments strings by a dictionary, which is shipped with it; `segment` checks its size."""
     import pandas as pd
 
     known, longest = set(words), max(map(len, words), default=1)

@@ -104,7 +104,7 @@ def keyword_prefilter(spark, sf_dir):
 @query(f"with dt as (select doc_id, unnest(list_distinct({TOK.format('text')})) as token from documents) select token, count(*) as n_docs, min(doc_id) as first_doc from dt group by token")
 def inverted_index(spark, sf_dir):
     _, d = _texts(spark, sf_dir)
-    return S.inverted_index(d).select("token", F.size("postings").cast("long").alias("n_docs"), F.col("postings")[0].alias("first_doc"))
+    return S.inverted_index(d).groupBy("token").agg(F.sum(F.size("postings")).alias("n_docs"), F.min(F.col("postings")[0]).alias("first_doc"))
 
 
 H_SQL = f"""q as (select vec_id as query_id, e.embedding, {TOK.format('text')} as t from embeddings e join documents on doc_id = vec_id where vec_id % 20 = 0),

@@ -261,10 +261,11 @@ def producer_split(spark, sf_dir):
 
 @query("select distinct p_name, replace(p_name, ' ', '|') as cut from part where p_name like '% %'")
 def segment_bidirectional(spark, sf_dir):
-    """Part names without their space, cut by a dictionary of all the names' words, which is broadcast."""
+    """Part names without their space, cut by a dictionary of all the names' words."""
     p = table(spark, sf_dir, "part").select("p_name").distinct()
-    words = [r["w"] for r in p.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().orderBy("w").toLocalIterator()]
-    return p.filter("p_name like '% %'").select("p_name", F.array_join(TX.segmenter(words)(F.replace("p_name", F.lit(" "), F.lit(""))), "|").alias("cut"))
+    words = p.select(F.explode(F.split("p_name", " ")).alias("w"))
+    joined = p.filter("p_name like '% %'").withColumn("text", F.replace("p_name", F.lit(" "), F.lit("")))
+    return TX.segment(joined, words).select("p_name", F.array_join("cut", "|").alias("cut"))
 
 
 @query("""select p_partkey as text_id, 9 as start, 9 + length(p_name) as "end", 'Drug' as etype from part""")

@@ -133,6 +133,44 @@ def test_two_way_cut():
     assert text.two_way_cut("研究生命起源", words, 3) == ["研究", "生命", "起源"]
 
 
+def test_segmentation_by_join_gives_the_same_cut(spark):
+    words = spark.createDataFrame([(w,) for w in ("研究", "研究生", "生命", "起源", "的", "研究")], "w string")
+    texts = spark.createDataFrame([(t,) for t in ("研究生命起源", "研究生命起源", "的", "", "xyz", None)], "text string")
+    cuts = lambda df: sorted((r["text"] or "", r["cut"] or []) for r in df.collect())
+    assert cuts(text.segment(texts, words)) == cuts(text.segment(texts, words, shipped=0))
+    assert ("研究生命起源", ["研究", "生命", "起源"]) in cuts(text.segment(texts, words, shipped=0))
+    assert {len(x) for _, x in cuts(text.segment(texts, words.limit(0)))} == {0, 1, 3, 6}
+
+
+def test_index_blocks_hold_every_posting_once(spark):
+    chunks = spark.range(50).selectExpr("id as chunk_id", "array('the', 'the', cast(id as string)) as tokens")
+    rows = search.inverted_index(chunks, block=8).filter("token = 'the'").collect()
+    assert len(rows) > 1 and sorted(x for r in rows for x in r["postings"]) == list(range(50))
+    assert all(r["postings"] == sorted(r["postings"]) for r in rows)
+
+
+def test_keyword_sides_meet_by_shuffle_beyond_the_bound(spark, monkeypatch):
+    chunks = spark.createDataFrame([("a", ["x", "y"]), ("b", ["z", "x"])], "chunk_id string, tokens array<string>")
+    asked = spark.createDataFrame([(1, ["x", "x", "q"]), (2, ["z"])], "query_id int, tokens array<string>")
+    small = sorted(map(tuple, search.keyword_scores(asked, chunks).collect()))
+    monkeypatch.setattr(search, "BROADCAST_TOKENS", 0)
+    assert sorted(map(tuple, search.keyword_scores(asked, chunks).collect())) == small and len(small) == 3
+
+
+def test_prefilter_falls_back_to_all(spark):
+    pairs = spark.createDataFrame([(1, "a", True), (1, "b", False), (2, "c", False), (2, "d", None)], "query_id int, chunk_id string, f boolean")
+    got = search.keyword_prefilter(pairs, F.col("f"))
+    assert sorted((r["query_id"], r["chunk_id"]) for r in got.collect()) == [(1, "a"), (2, "c"), (2, "d")]
+
+
+def test_large_dictionary_is_joined(spark, monkeypatch):
+    words = spark.createDataFrame([("flu", [], "k", "Disease")], "name string, aliases array<string>, kg_id string, etype string")
+    texts = spark.createDataFrame([(1, "flu, flu")], "text_id int, text string")
+    monkeypatch.setattr(mentions, "AUTOMATON_FORMS", 0)
+    monkeypatch.setattr(mentions, "_match_automaton", None)
+    assert sorted(r["start"] for r in mentions.match(texts, words, "automaton").collect()) == [0, 5]
+
+
 def test_rrf_is_monotone(spark):
     src = spark.createDataFrame([(1, "document", str(i), float(9 - i), "x") for i in range(5)] + [(1, "graph", "g", 1.0, "y")], "query_id int, source_type string, source_id string, score double, content string")
     got = [(r["source_type"], r["score"]) for r in fusion.reciprocal_rank(src).orderBy("rank").collect()]
