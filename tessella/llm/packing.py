@@ -25,7 +25,6 @@ import json
 import re
 import struct
 import zlib
-from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +43,7 @@ CACHE_CHUNKS, WORDS_AT_ONCE = 2_000_000, 4000
 TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: First bytes of the marks that may compose with an ASCII letter before it is put in lower case (U+0300 to U+036F).
 MARKS = (b"\xcc", b"\xcd")
-APART = re.compile(rb"(?<=[a-z])([,.]+)(?=[ \n])").sub
+APART = re.compile(rb"([,.])(?<=[a-z].)(?=[ \n])").sub
 #: The steps of the one kind of tokenizer for which a text's ids are those of its chunks between ASCII white space, one after another.
 CHUNKED = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -67,6 +66,16 @@ def chunked(definition: str) -> bool:
     return plain and all(held[k] == v for k, v in CHUNKED.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"]
 
 
+def sliced(strings) -> list[bytes]:
+    """The values of an Arrow large string array without nulls, by slices of its buffer."""
+    import numpy as np
+
+    _, ends, data = strings.buffers()
+    bounds = np.frombuffer(ends, np.int64)[strings.offset : strings.offset + len(strings) + 1].tolist() if len(strings) else []
+    raw = data.to_pybytes() if data else b""
+    return [raw[x:y] for x, y in zip(bounds, bounds[1:])]
+
+
 class Ids(dict):
     """Chunk of a text between ASCII white space (UTF-8) -> its ids as little-endian unsigned 32-bit integers, for `chunked` tokenizers."""
 
@@ -82,23 +91,20 @@ class Ids(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Adds the chunks of texts.
+    def learn(self, new: set[bytes]) -> None:
+        """Adds new chunks.
 
         A word of letters alone whose lower-cased form has letters alone is one word of the tokenizer, and so is apart from the punctuation after it:
         only new words and tails are encoded, ASCII words in lower case. All other chunks are encoded whole.
         """
-        new = set(chain.from_iterable(texts)).difference(self)
         if len(self) + 2 * len(new) > self.most:
             self.clear()
-            new = set(chain.from_iterable(texts))
+        lower = [c for c in new if c.isalpha() and c.islower()]  # ASCII letters alone
         words, cut_up, odd = set(), [], set()
-        for c in new:
-            if c.isalpha():  # ASCII letters alone
-                stem = c.lower()
-                if stem != c:
-                    cut_up.append((c, stem, b""))
-                words.add(stem)
+        for c in new.difference(lower):
+            if c.isalpha():
+                cut_up.append((c, c.lower(), b""))
+                words.add(c.lower())
                 continue
             word = c.rstrip(TAIL)
             if word.isascii():
@@ -116,10 +122,9 @@ class Ids(dict):
                 if tail:
                     odd.add(tail)
         self.encode(list(odd.difference(self)))
-        fresh = words.difference(self)
-        ascii_words = [w for w in fresh if w.isascii()]
-        self.encode_words(ascii_words, self.bare)
-        self.encode_words(list(fresh.difference(ascii_words)), self.tokenizer)
+        fresh = words.difference(self, lower)
+        self.encode_words(lower + [w for w in fresh if w.isascii()], self.bare)
+        self.encode_words([w for w in fresh if not w.isascii()], self.tokenizer)
         for c, stem, tail in cut_up:
             self[c] = self[stem] + self[tail] if tail else self[stem]
 
@@ -150,9 +155,27 @@ class Ids(dict):
         return text if any(m in low for m in (*MARKS, *self.marks)) else APART(rb" \1", low)
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [self.plain(t).split() for t in texts]  # bytes: at ASCII white space
-        self.learn(chunks)
-        return [b"".join(map(self.__getitem__, c)) for c in chunks]
+        """The ids of texts. Arrow tells their chunks apart, only distinct ones are looked up, those not known yet are learned together, and numpy deals the ids out."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        chunks = pc.ascii_split_whitespace(pa.array([self.plain(t) for t in texts], pa.large_binary()).view(pa.large_string()))
+        coded = chunks.values.dictionary_encode()
+        distinct = sliced(coded.dictionary)
+        found = list(map(self.get, distinct))
+        if not all(found):  # a chunk of no ids leads here, too
+            self.learn({c for c, ids in zip(distinct, found) if ids is None})
+            found = [self[c] if ids is None else ids for c, ids in zip(distinct, found)]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(length) - length
+        at = coded.indices.to_numpy()
+        n = length[at]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        raw = flat[np.repeat(first[at] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
+        bounds = (4 * stop[chunks.offsets.to_numpy()]).tolist()
+        return [raw[x:y] for x, y in zip(bounds, bounds[1:])]
 
 
 class WholeTexts:
