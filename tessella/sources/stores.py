@@ -12,8 +12,9 @@ from .files import CHUNK
 
 
 class ChunkStore:
-    """Chunks under one folder, partitioned by section_type so that filters on it prune. Each load writes a new version
-    folder and then moves the pointer file, so readers never see half a load."""
+    """Chunks under one folder, partitioned by section_type so that filters on it prune. Each load writes a hidden folder and
+    then renames it to the next version; readers take the highest one, so they never see half a load. The version before
+    stays for readers that began on it, older ones are deleted. One load at a time."""
 
     def __init__(self, spark: SparkSession, path: str, dim: int = 1024):
         self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
@@ -23,13 +24,15 @@ class ChunkStore:
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def _current(self) -> str | None:
+    def versions(self) -> list[str]:
+        """The published versions, oldest first."""
         fs, jvm = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        return self.spark.read.text(f"{self.path}/current").first()["value"] if fs.exists(at) else None
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in names if n.startswith("v-"))
 
     def exists(self) -> bool:
-        return self._current() is not None
+        return bool(self.versions())
 
     def drop(self) -> None:
         fs, jvm = self._fs()
@@ -42,12 +45,18 @@ class ChunkStore:
             self._publish(self.spark.createDataFrame([], CHUNK))
 
     def _publish(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.partitionBy("section_type").parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        fs, jvm = self._fs()
+        at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        known = self.versions()
+        fresh, version = f".load-{uuid.uuid4().hex}", f"v-{int(known[-1][2:]) + 1 if known else 0:012d}"
+        rows.write.partitionBy("section_type").parquet(f"{self.path}/{fresh}")
+        if fs.exists(at(version)) or not fs.rename(at(fresh), at(version)):
+            raise RuntimeError(f"another load has published {version}")
+        for old in known[:-1]:
+            fs.delete(at(old), True)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(CHUNK).parquet(f"{self.path}/{self._current()}")
+        return self.spark.read.schema(CHUNK).parquet(f"{self.path}/{self.versions()[-1]}")
 
     def load(self, chunks: DataFrame) -> tuple[DataFrame, dict[str, int]]:
         """Valid chunks go in, the last of a chunk_id wins over the store; returns the rejected rows with reasons, and counts."""

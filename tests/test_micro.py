@@ -216,6 +216,7 @@ def test_files_and_store(spark, tmp_path):
     assert [x["chunk_id"] for x in store.search(asked).collect()] == ["a"]
     ingest.stream_into(spark, str(tmp_path / "in"), store, str(tmp_path / "cp")).awaitTermination()
     assert store.read().count() == 1
+    assert store.versions() == ["v-000000000002", "v-000000000003"] and not list((tmp_path / "store").glob(".load-*"))
     with pytest.raises(ValueError):
         stores.create_store(spark, "x", "nope")
 
