@@ -9,6 +9,8 @@ from ..functions import columns as C
 from .search import vector_scores
 
 STAGES = ("exact", "alias", "edit", "vector")
+#: Distinct mention texts whose nearest names are broadcast at most, some hundred bytes each.
+BROADCAST_TEXTS = 50_000
 
 
 def exact(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -28,12 +30,15 @@ def alias(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 def edit(mentions: DataFrame, entities: DataFrame, most: int | None = None, keep: int = 3) -> DataFrame:
     """The `keep` nearest names within the edit distance that a mention's length allows.
 
-    A band equi-join on the length, then the banded levenshtein; for 2 edits or fewer, names also share one of three
-    parts at about the same place (pigeonhole), which keeps the buckets of common lengths small.
+    Each distinct text is compared once. A band equi-join on the length, then the banded levenshtein; for 2 edits or fewer, names also share one of three
+    parts at about the same place (pigeonhole), which keeps the buckets of common lengths small. The sides of that join are exploded, of which the planner's
+    sizes know nothing, so they are merged and never broadcast; up to BROADCAST_TEXTS texts, their names are broadcast to the mentions.
     """
+    typed = [c for c in ("etype",) if c in mentions.columns]
     limit = C.max_distance(F.length("text")) if most is None else F.lit(most)
     d = 2 if most is None else most
-    asked = mentions.withColumn("d", limit).select("mention_id", "text", *(c for c in ("etype",) if c in mentions.columns), "d", F.explode(F.sequence(F.length("text") - F.col("d"), F.length("text") + F.col("d"))).alias("n"))
+    texts = mentions.select("text", *typed).distinct()
+    asked = texts.withColumn("d", limit).select("*", F.explode(F.sequence(F.length("text") - F.col("d"), F.length("text") + F.col("d"))).alias("n"))
     # d + 1 parts of a name of n characters: at most d of them are touched, so one is found at a shift of up to d.
     cuts = [(F.floor(F.col("n") * k / (d + 1)).cast("int"), F.floor(F.col("n") * (k + 1) / (d + 1)).cast("int")) for k in range(d + 1)]
     parts = F.array(*(F.struct(F.lit(k).alias("k"), F.substring("name", a + 1, b - a).alias("s")) for k, (a, b) in enumerate(cuts)))
@@ -46,12 +51,15 @@ def edit(mentions: DataFrame, entities: DataFrame, most: int | None = None, keep
 
     spots = F.flatten(F.array(*(near_places(k, a, b) for k, (a, b) in enumerate(cuts))))
     seen = asked.select("*", F.explode(F.array_distinct(spots)).alias("p")).select("*", "p.k", "p.s").drop("p")
-    keys = ["n", "k", "s"] + [c for c in ("etype",) if c in mentions.columns]
-    pairs = seen.join(held, keys).select("mention_id", "text", "name", "etype", "kg_id", "d").distinct()
+    pairs = seen.join(held.hint("merge"), ["n", "k", "s", *typed]).select("text", "name", "etype", "kg_id", "d").distinct()
     near = pairs.withColumn("distance", F.levenshtein("text", "name")).filter(F.col("distance") <= F.col("d"))
     near = near.withColumn("similarity", F.round(C.edit_similarity(F.col("distance"), F.col("text"), F.col("name")), 6))
-    w = Window.partitionBy("mention_id").orderBy(F.col("similarity").desc(), "name", "etype")
-    return near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).select("mention_id", "text", "name", "etype", "kg_id", F.lit("edit").alias("stage"), "distance", "similarity")
+    order = (F.col("similarity").desc(), "name", "etype")
+    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("text", *typed).orderBy(*order))).filter(F.col("rn") <= keep).drop("rn")
+    near = F.broadcast(near) if texts.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else near.hint("merge")
+    links = mentions.select("mention_id", "text", *typed).distinct().join(near, ["text", *typed])
+    w = Window.partitionBy("mention_id").orderBy(*order)
+    return links.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).select("mention_id", "text", "name", "etype", "kg_id", F.lit("edit").alias("stage"), "distance", "similarity")
 
 
 def vector(mentions: DataFrame, entities: DataFrame, least: float = 0.6, keep: int = 3) -> DataFrame:

@@ -120,6 +120,24 @@ def test_edit_links_against_all_pairs(spark):
     assert {(r["mention_id"], r["name"], r["distance"]) for r in linking.edit(mention, entity, keep=100).collect()} == want
 
 
+def plan_of(df):
+    """The physical plan before it runs."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_edit_links_never_broadcast_the_exploded_texts(spark, monkeypatch):
+    mention = spark.createDataFrame([(1, "almon"), (2, "almon"), (3, "lemom"), (3, "lemom")], "mention_id int, text string")
+    entity = spark.createDataFrame([(n, "Drug", None) for n in ("almond", "salmon", "lemon", "melon")], "name string, etype string, kg_id string")
+    want = [(1, "almond", 1), (1, "lemon", 2), (1, "salmon", 1), (2, "almond", 1), (2, "lemon", 2), (2, "salmon", 1), (3, "lemon", 1)]
+    plans = []
+    for most in (linking.BROADCAST_TEXTS, 1):
+        monkeypatch.setattr(linking, "BROADCAST_TEXTS", most)
+        got = linking.edit(mention, entity)
+        assert sorted((r["mention_id"], r["name"], r["distance"]) for r in got.collect()) == want
+        plans.append(plan_of(got))
+    assert [(p.count("BroadcastHashJoin"), p.count("SortMergeJoin")) for p in plans] == [(1, 1), (0, 2)]
+
+
 def test_link_results_keep_keyword_ids(spark):
     found = spark.createDataFrame([(1, "aspirin", "keyword", "old"), (2, "aspirin", "ner", None), (3, "zzz", "ner", "own")], "mention_id int, text string, source string, kg_id string")
     names = spark.createDataFrame([("aspirin", [], "Drug", "new")], "name string, aliases array<string>, etype string, kg_id string")
