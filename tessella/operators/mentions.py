@@ -16,6 +16,8 @@ from .graph import literal_map
 
 #: Surfaces that an automaton holds at most, some hundred bytes each in every worker.
 AUTOMATON_FORMS = 500_000
+#: Surfaces that are broadcast to the substrings of the texts at most, some hundred bytes each.
+BROADCAST_FORMS = 50_000
 
 
 def surface_forms(dictionary: DataFrame) -> DataFrame:
@@ -26,12 +28,15 @@ def surface_forms(dictionary: DataFrame) -> DataFrame:
 
 
 def match(texts: DataFrame, dictionary: DataFrame, engine: str = "join") -> DataFrame:
-    """All occurrences, overlaps included, but for denials of one character between CJK characters. engine "join": substrings of each dictionary length meet the surfaces in an equi-join;
+    """All occurrences, overlaps included, but for denials of one character between CJK characters. engine "join": substrings of each dictionary length meet the surfaces in an equi-join,
+    for which up to BROADCAST_FORMS surfaces are broadcast; beyond it both sides are merged. The substrings are never broadcast: the planner's sizes know nothing of their number;
     "automaton": an Aho-Corasick automaton in each worker, for long texts and a dictionary of at most AUTOMATON_FORMS surfaces; a larger one is joined."""
     forms = surface_forms(dictionary)
     if engine == "automaton" and forms.count() <= AUTOMATON_FORMS:
         return _match_automaton(texts, forms)
-    lengths = [r["n"] for r in forms.select(F.length("surface").alias("n")).distinct().orderBy("n").collect()]
+    counts = forms.groupBy(F.length("surface").alias("n")).agg(F.count(F.lit(1)).alias("forms")).orderBy("n").collect()
+    lengths = [r["n"] for r in counts]
+    forms = F.broadcast(forms) if sum(r["forms"] for r in counts) <= BROADCAST_FORMS else forms.hint("merge")
     # One row for each place; the lengths are distinct lengths of surfaces, a few dozen at most.
     at = texts.select("text_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)))).alias("start"))
     cuts = [F.when(F.col("start") + n <= F.length("text"), F.substring("text", F.col("start") + 1, F.lit(n))) for n in lengths]

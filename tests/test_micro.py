@@ -189,6 +189,19 @@ def test_large_dictionary_is_joined(spark, monkeypatch):
     assert sorted(r["start"] for r in mentions.match(texts, words, "automaton").collect()) == [0, 5]
 
 
+def test_substrings_are_never_broadcast(spark, monkeypatch):
+    words = spark.createDataFrame([("flu", [], "k", "Disease")], "name string, aliases array<string>, kg_id string, etype string")
+    texts = spark.createDataFrame([(1, "flu, flu")], "text_id int, text string")
+    plans = []
+    for most in (mentions.BROADCAST_FORMS, 0):
+        monkeypatch.setattr(mentions, "BROADCAST_FORMS", most)
+        got = mentions.match(texts, words)
+        assert sorted(r["start"] for r in got.collect()) == [0, 5]
+        plans.append(plan_of(got))
+    assert "BroadcastHashJoin" in plans[0] and "BuildRight" in plans[0] and "BuildLeft" not in plans[0]
+    assert "SortMergeJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
+
+
 def test_rrf_is_monotone(spark):
     src = spark.createDataFrame([(1, "document", str(i), float(9 - i), "x") for i in range(5)] + [(1, "graph", "g", 1.0, "y")], "query_id int, source_type string, source_id string, score double, content string")
     got = [(r["source_type"], r["score"]) for r in fusion.reciprocal_rank(src).orderBy("rank").collect()]
