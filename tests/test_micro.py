@@ -202,6 +202,15 @@ def test_substrings_are_never_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
 
 
+def test_longest_match_reads_the_mentions_once(spark):
+    spans = [(t, s, s + n, e) for t in range(3) for s, n, e in [(0, 3, "a"), (0, 3, "b"), (0, 2, "a"), (1, 2, "a"), (1, 4, "a"), (2, 3, "a"), (2 + t, 3, "b"), (9, 1, "a"), (9, 1, "a")]]
+    df = spark.createDataFrame(spans, "text_id int, start int, end int, etype string")
+    want = sorted(m for m in spans if not any(o[0] == m[0] and o[1] <= m[1] and m[2] <= o[2] and o[1:3] != m[1:3] for o in spans))
+    got = mentions.longest(df)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "Join" not in plan_of(got)
+
+
 def test_rrf_is_monotone(spark):
     src = spark.createDataFrame([(1, "document", str(i), float(9 - i), "x") for i in range(5)] + [(1, "graph", "g", 1.0, "y")], "query_id int, source_type string, source_id string, score double, content string")
     got = [(r["source_type"], r["score"]) for r in fusion.reciprocal_rank(src).orderBy("rank").collect()]
