@@ -1,7 +1,8 @@
 """Vector, keyword and hybrid search over chunk tables (chunk_id, tokens, embedding, and columns to filter by).
 
 Queries are a table too: a batch is scored in one plan. The query side is the small one and is broadcast only behind a
-check of its rows; beyond it, the equi-joined paths (keyword) shuffle, and the vector path runs in blocks of queries.
+check of its rows; beyond it, the equi-joined paths (keyword) shuffle, and the vector path runs in blocks of queries. These make every pair; `search` ranks and
+makes only the pairs that can be among the best (see `nearest`).
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .nearest import candidates
 
+#: Weights of the vector and the keyword score in a hybrid one.
+HYBRID = (0.7, 0.3)
 #: Queries that are compared with a table at once.
 QUERY_BLOCK = 10_000
 #: Rows (query, token) that are broadcast at most, some tens of bytes each.
@@ -77,25 +81,33 @@ def keyword_prefilter(pairs: DataFrame, flag: Column) -> DataFrame:
     return told.join(answered, "query_id", "left").filter("__hit or __any is null").drop("__hit", "__any")
 
 
-def hybrid_scores(vector: DataFrame, keyword: DataFrame, vector_weight: float = 0.7, keyword_weight: float = 0.3) -> DataFrame:
+def hybrid_score(vector: Column, keyword: Column, vector_weight: float = HYBRID[0], keyword_weight: float = HYBRID[1]) -> Column:
+    """The weighted sum of both scores; a missing one is 0."""
+    return F.round(vector_weight * F.coalesce(vector, F.lit(0.0)) + keyword_weight * F.coalesce(keyword, F.lit(0.0)), 9)
+
+
+def hybrid_scores(vector: DataFrame, keyword: DataFrame, vector_weight: float = HYBRID[0], keyword_weight: float = HYBRID[1]) -> DataFrame:
     """The full outer join of both scores; a missing one is 0."""
     v, k = vector.withColumnRenamed("score", "v"), keyword.withColumnRenamed("score", "k")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return v.join(k, ["query_id", "chunk_id"], "full_outer").select("query_id", "chunk_id", F.round(vector_weight * zero("v") + keyword_weight * zero("k"), 9).alias("score"))
+    return v.join(k, ["query_id", "chunk_id"], "full_outer").select("query_id", "chunk_id", hybrid_score(F.col("v"), F.col("k"), vector_weight, keyword_weight).alias("score"))
 
 
 def search(queries: DataFrame, chunks: DataFrame, mode: str = "vector_only", k: int = 10, least: float = 0.0, **allowed: list | None) -> DataFrame:
     """(query_id, chunk_id, score, rank) in mode vector_only, keyword_only or hybrid. Keyword search needs no vectors."""
     pool = filtered(chunks, **allowed)
-    if mode == "keyword_only":
-        return top_k(keyword_scores(queries, pool), k)
-    vector = vector_scores(queries, pool, least)
     if mode == "vector_only":
-        return top_k(vector, k)
-    keyword = keyword_scores(queries, pool)
+        pairs = candidates(queries, pool, k, True, False, least)
+        return top_k(pairs.select("query_id", "chunk_id", F.round("dot", 6).alias("score")).filter(F.col("score") >= least), k)
+    share = F.round(F.col("hits") / F.greatest("n_query", "n_doc"), 6)
+    if mode == "keyword_only":
+        return top_k(candidates(queries, pool, k, False, True).select("query_id", "chunk_id", share.alias("score")), k)
+    pairs = candidates(queries, pool, k, True, True, least, HYBRID)
+    vector = F.when(F.round("dot", 6) >= least, F.round("dot", 6))
+    told = pairs.select("query_id", "chunk_id", vector.alias("v"), F.when(F.col("hits") > 0, share).alias("k"))
     # The keyword prefilter holds for the vector side too, with its fallback.
-    flagged = vector.join(keyword.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
-    return top_k(hybrid_scores(keyword_prefilter(flagged, F.col("hit").isNotNull()).drop("hit"), keyword), k)
+    answered = F.max(F.col("v").isNotNull() & F.col("k").isNotNull()).over(Window.partitionBy("query_id"))
+    left = told.withColumn("__any", answered).filter(F.col("k").isNotNull() | (F.col("v").isNotNull() & ~F.col("__any")))
+    return top_k(left.select("query_id", "chunk_id", hybrid_score(F.col("v"), F.col("k")).alias("score")), k)
 
 
 def rank_then_threshold(scores: DataFrame, k: int, least: float) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-computed cases of rules that the driver's tables don't reach, and properties."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
-from tessella.operators import fusion, graph, intents, linking, mentions, search, text
+from tessella.operators import fusion, graph, intents, linking, mentions, nearest, search, text
 from tessella.sources import files, stores
 from tessella.streaming import ingest
 
@@ -175,6 +176,26 @@ def test_keyword_sides_meet_by_shuffle_beyond_the_bound(spark, monkeypatch):
     assert sorted(map(tuple, search.keyword_scores(asked, chunks).collect())) == small and len(small) == 3
 
 
+@pytest.mark.parametrize("least", [-1.0, 0.0, 0.25])
+def test_search_ranks_as_all_pairs_do(spark, monkeypatch, least):
+    """Ties, copies, null and odd vectors, queries without tokens or hits, tiny blocks; but no pair is made that can't be among the best."""
+    draw = random.Random(7)
+    vector = lambda i: None if i % 17 == 3 else [1.0] if i % 17 == 5 else [1.0, None] if i % 17 == 7 else [draw.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(2)]
+    words = lambda i: None if i % 13 == 2 else [draw.choice("abcdefghij") for _ in range(draw.randrange(6))] if i % 13 != 4 else ["only" + str(i)]
+    chunks = spark.createDataFrame([(f"c{i * 37 % 300}", vector(i), words(i)) for i in range(300)], "chunk_id string, embedding array<float>, tokens array<string>").repartition(3)
+    asked = spark.createDataFrame([(i, vector(i), words(i)) for i in range(40)] + [(40, [0.5, 0.5], ["zzz"]), (41, [0.5, 0.5], [])], "query_id int, vector array<float>, tokens array<string>")
+    for name, value in (("VECTORS", 15), ("TOKENS", 15), ("CELLS", 400), ("PAIRS", 20), ("HEAVY", 3)):
+        monkeypatch.setattr(nearest, name, value)
+    v, k = search.vector_scores(asked, chunks, least), search.keyword_scores(asked, chunks)
+    flagged = v.join(k.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    whole = {"vector_only": v, "keyword_only": k, "hybrid": search.hybrid_scores(search.keyword_prefilter(flagged, F.col("hit").isNotNull()).drop("hit"), k)}
+    for mode, scores in whole.items():
+        got = search.search(asked, chunks, mode, k=4, least=least)
+        columns = ["query_id", "chunk_id", "score", "rank"]
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, search.top_k(scores, 4).select(columns).collect())), mode
+        assert not any(x in plan_of(got) for x in ("CartesianProduct", "NestedLoop", "HashJoin", "SortMergeJoin"))
+
+
 def test_prefilter_falls_back_to_all(spark):
     pairs = spark.createDataFrame([(1, "a", True), (1, "b", False), (2, "c", False), (2, "d", None)], "query_id int, chunk_id string, f boolean")
     got = search.keyword_prefilter(pairs, F.col("f"))
