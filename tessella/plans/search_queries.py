@@ -52,7 +52,7 @@ def vector_topk_filtered(spark, sf_dir):
 @query(f"with {V_SQL}, r as ({RANKED.format('v', 10)}) select * from r where score >= 0.25")
 def vector_rank_gap(spark, sf_dir):
     q, c = _vectors(spark, sf_dir)
-    return S.rank_then_threshold(S.vector_scores(q, c, -1.0), 10, 0.25)
+    return S.rank_then_threshold(S.search(q, c, k=10, least=-1.0).drop("rank"), 10, 0.25)
 
 
 @query("select case when vec_id % 50 = 0 then 'no_embedding' when label = 9 then 'bad_dim' else 'ok' end as reason, count(*) as n from embeddings group by 1")
