@@ -159,7 +159,7 @@ def rrf_fusion(spark, sf_dir):
     _, d = _texts(spark, sf_dir)
     chunks = d.join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id"), "chunk_id")
     q = chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"), "tokens")
-    return FU.rrf_lists([S.top_k(S.vector_scores(q, chunks, -1.0), 20), S.top_k(S.keyword_scores(q, chunks), 20)])
+    return FU.rrf_lists([S.search(q, chunks, k=20, least=-1.0), S.search(q, chunks, "keyword_only", k=20)])
 
 
 SRC_SQL = f"""{V_SQL}, src as (
