@@ -169,7 +169,7 @@ SRC_SQL = f"""{V_SQL}, src as (
 
 def _sources(spark, sf_dir):
     q, c = _vectors(spark, sf_dir)
-    docs = S.top_k(S.vector_scores(q, c, -1.0), 4).select("query_id", F.lit("document").alias("source_type"), F.col("chunk_id").alias("source_id"), "score", F.concat(F.lit("doc "), F.col("chunk_id").cast("string")).alias("content"))
+    docs = S.search(q, c, k=4, least=-1.0).select("query_id", F.lit("document").alias("source_type"), F.col("chunk_id").alias("source_id"), "score", F.concat(F.lit("doc "), F.col("chunk_id").cast("string")).alias("content"))
     graph = q.select("query_id", F.lit("graph").alias("source_type"), F.lit(0).cast("long").alias("source_id"), F.lit(1.0).alias("score"), F.lit("graph").alias("content"))
     return docs.unionByName(graph)
 
