@@ -117,6 +117,23 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n...（内容已截断）"))).otherwise(text)
 
 
+def three_digits(value: Column) -> Column:
+    """A number with three digits as printf rounds it: by its binary value, halves to even. (format_string rounds its shortest decimal, halves up.)
+
+    The thousandfold as an exact sum of two doubles (the number split into halves of 26 bits); huge numbers and NaN go to format_string.
+    """
+    x = F.abs(value)
+    scaled = x * F.lit(134217729.0)
+    high = scaled - (scaled - x)
+    h, low = high * 1000.0, (x - high) * 1000.0
+    n = F.floor(h + low)
+    over = h - n.cast("double") - 0.5
+    m = n + F.when((over > -low) | ((over == -low) & (n % 2 == 1)), 1).otherwise(0)
+    sign = F.when(value < 0, "-").otherwise("")
+    exact = F.concat(sign, F.format_string("%d.%03d", F.floor(m / 1000).cast("long"), m % 1000))
+    return F.when(x < 1e12, exact).otherwise(F.format_string("%.3f", value))
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of logits."""
     shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))

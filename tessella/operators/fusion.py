@@ -61,7 +61,7 @@ def contexts(ranked: DataFrame, most: int = 4000, queries: DataFrame | None = No
     those without a source get a row, which says so."""
     w = Window.partitionBy("query_id", "source_type").orderBy("rank")
     numbered = ranked.withColumn("no", F.row_number().over(w))
-    line = F.when(F.col("source_type") == GRAPH, F.col("content")).otherwise(F.concat(F.format_string("\n[%d] (相似度: %.3f)\n", F.col("no"), F.col("score")), F.col("content")))
+    line = F.when(F.col("source_type") == GRAPH, F.col("content")).otherwise(F.concat(F.format_string("\n[%d] (相似度: %s)\n", F.col("no"), C.three_digits(F.col("score"))), F.col("content")))
     of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("source_type") == kind, F.struct("no", "line"))))
     g = numbered.withColumn("line", line).groupBy("query_id").agg(of(GRAPH).alias("g"), of(DOCUMENT).alias("d"))
     block = lambda c, head: F.when(F.size(c) > 0, F.concat(F.lit(head), F.array_join(F.transform(c, lambda x: x["line"]), "\n"))).otherwise(F.lit(""))

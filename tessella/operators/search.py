@@ -120,7 +120,7 @@ def context_budget(results: DataFrame, most: int = 4000, head: str = "【文档
 
     Adds used (characters before the row), kept text and truncated. A cost is the text, its score label and 20.
     """
-    label = F.length(F.format_string(" (相似度: %.3f)", F.col("score")))
+    label = F.length(F.format_string(" (相似度: %s)", C.three_digits(F.col("score"))))
     w = Window.partitionBy("query_id").orderBy("rank")
     sized = results.withColumn("text", C.strip(F.col("text"))).withColumn("cost", F.length("text") + label + 20)
     sized = sized.withColumn("used", F.lit(len(head)) + F.coalesce(F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

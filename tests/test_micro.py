@@ -232,6 +232,13 @@ def test_longest_match_reads_the_mentions_once(spark):
     assert "Join" not in plan_of(got)
 
 
+def test_scores_in_contexts_are_rounded_as_printf_does(spark):
+    scores = [0.1235, 0.0625, 0.4375, 0.2345, 0.0005, 0.9995, -0.0625, -0.0004, 0.0, 1.0, 1234.5675, 1e13] + [i / 2000 for i in range(1, 400, 2)]
+    rows = spark.createDataFrame([(i, "document", "a", s, "x") for i, s in enumerate(scores)], "query_id int, source_type string, source_id string, score double, content string")
+    got = {r["query_id"]: r["context"] for r in fusion.contexts(fusion.rerank(rows)).collect()}
+    assert [got[i].split("相似度: ")[1].split(")")[0] for i in range(len(scores))] == ["%.3f" % s for s in scores]
+
+
 def test_rrf_is_monotone(spark):
     src = spark.createDataFrame([(1, "document", str(i), float(9 - i), "x") for i in range(5)] + [(1, "graph", "g", 1.0, "y")], "query_id int, source_type string, source_id string, score double, content string")
     got = [(r["source_type"], r["score"]) for r in fusion.reciprocal_rank(src).orderBy("rank").collect()]
