@@ -243,8 +243,7 @@ def section_chunks(spark, sf_dir):
 @query(f"""with {N_SQL}, {E_SQL} select a.label as start_entity_type, b.label as end_entity_type, rel_type, count(distinct (a.name, b.name)) as n_pairs from e join n a on src = a.id join n b on dst = b.id group by all""")
 def export_relations_json(spark, sf_dir):
     made = G.export_relations(edges(spark, sf_dir), nodes(spark, sf_dir))
-    pairs = F.from_json("rels", "array<struct<start_entity_name:string,end_entity_name:string>>")
-    return made.select("start_entity_type", "end_entity_type", "rel_type", F.size(pairs).cast("long").alias("n_pairs"))
+    return made.groupBy("start_entity_type", "end_entity_type", "rel_type").agg(F.sum(F.json_array_length("rels")).alias("n_pairs"))
 
 
 #: Headings for the labels of this graph.

@@ -289,6 +289,15 @@ def test_files_and_store(spark, tmp_path):
         stores.create_store(spark, "x", "nope")
 
 
+def test_export_deals_a_relation_into_blocks(spark):
+    nodes = spark.range(40).selectExpr("cast(id as string) as id", "if(id < 20, 'A', 'B') as label", "concat('n', id % 10) as name")
+    edges = spark.range(400).selectExpr("cast(id % 20 as string) as src", "cast(20 + id div 20 as string) as dst", "'r' as rel_type")
+    rows = graph.export_relations(edges, nodes, per_block=8).collect()
+    pairs = [(x["start_entity_name"], x["end_entity_name"]) for r in rows for x in json.loads(r["rels"])]
+    assert len(rows) == 5 and {(r["start_entity_type"], r["end_entity_type"], r["rel_type"]) for r in rows} == {("A", "B", "r")}
+    assert sorted(pairs) == [(f"n{a}", f"n{b}") for a in range(10) for b in range(10)]
+
+
 def test_graph_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "Disease", "A", {"k": "v"}), ("b", "Drug", "B", {})], "id string, label string, name string, props map<string,string>")
     edges = graph.build_edges([spark.createDataFrame([("a", "b", "common_drug"), ("a", "b", "common_drug"), ("a", "zz", "do_eat")], "src string, dst string, rel_type string")], nodes)
