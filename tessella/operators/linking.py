@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .search import vector_scores
+from .nearest import candidates
 
 STAGES = ("exact", "alias", "edit", "vector")
 #: Distinct mention texts whose nearest names are broadcast at most, some hundred bytes each.
@@ -63,11 +63,17 @@ def edit(mentions: DataFrame, entities: DataFrame, most: int | None = None, keep
 
 
 def vector(mentions: DataFrame, entities: DataFrame, least: float = 0.6, keep: int = 3) -> DataFrame:
-    """The `keep` names with the most similar embeddings: mentions (mention_id, text, vector), entities (name, etype, kg_id, embedding)."""
-    scores = vector_scores(mentions.select(F.col("mention_id").alias("query_id"), "vector"), entities.select(F.col("name").alias("chunk_id"), "embedding"), least)
-    got = scores.select(F.col("query_id").alias("mention_id"), F.col("chunk_id").alias("name"), F.col("score").alias("similarity")).join(mentions.select("mention_id", "text"), "mention_id").join(entities.select("name", "etype", "kg_id"), "name")
-    w = Window.partitionBy("mention_id").orderBy(F.col("similarity").desc(), "name")
-    return got.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).select("mention_id", "text", "name", "etype", "kg_id", F.lit("vector").alias("stage"), F.lit(0).alias("distance"), "similarity")
+    """The `keep` names with the most similar embeddings: mentions (mention_id, text, vector), entities (name, etype, kg_id, embedding).
+
+    Only pairs that can be among a mention's best leave a worker (see `nearest`), with the entity's type and id; an entity keeps its own score where another has its name.
+    """
+    asked = mentions.select(F.col("mention_id").alias("query_id"), "vector")
+    held = entities.select(F.col("name").alias("chunk_id"), "embedding", "etype", "kg_id")
+    pairs = candidates(asked, held, keep, True, False, least, carry=("etype", "kg_id"))
+    near = pairs.select(F.col("query_id").alias("mention_id"), F.col("chunk_id").alias("name"), "etype", "kg_id", F.round("dot", 6).alias("similarity")).filter(F.col("similarity") >= least)
+    w = Window.partitionBy("mention_id").orderBy(F.col("similarity").desc(), "name", "etype")
+    got = near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).join(mentions.select("mention_id", "text").distinct(), "mention_id")
+    return got.select("mention_id", "text", "name", "etype", "kg_id", F.lit("vector").alias("stage"), F.lit(0).alias("distance"), "similarity")
 
 
 def best(links: DataFrame) -> DataFrame:

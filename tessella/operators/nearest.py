@@ -23,8 +23,8 @@ CELLS, PAIRS, HEAVY = 2_000_000, 4_000_000, 512
 SLACK = 1.1e-6
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, k: int, vectors: bool, tokens: bool, least: float = 0.0, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """(query_id, chunk_id, dot, hits, n_query, n_doc), among them the k best of each query (query_id[, vector][, tokens]) in chunks (chunk_id[, embedding][, tokens]).
+def candidates(queries: DataFrame, chunks: DataFrame, k: int, vectors: bool, tokens: bool, least: float = 0.0, weights: tuple[float, float] = (1.0, 1.0), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, chunk_id, dot, hits, n_query, n_doc) and the columns of a chunk named in carry, among them the k best of each query (query_id[, vector][, tokens]) in chunks (chunk_id[, embedding][, tokens]).
 
     vectors only: by dot product, at least `least`; tokens only: by hits over the larger token count, at least one hit; both: by their weighted sum over pairs with
     a hit, a dot product below `least` counting as 0. With both, a pair with a hit and a dot product of `least` is among the rows if the query has one, and else
@@ -33,12 +33,12 @@ def candidates(queries: DataFrame, chunks: DataFrame, k: int, vectors: bool, tok
     size = TOKENS if tokens else VECTORS
     blocks = max(1, -(-queries.count() // size))
     asked = queries.select("query_id", *(["vector"] if vectors else []), *(["tokens"] if tokens else []))
-    held = chunks.select("chunk_id", *(["embedding"] if vectors else []), *([F.array_distinct("tokens").alias("tokens")] if tokens else []))
+    held = chunks.select("chunk_id", *(["embedding"] if vectors else []), *([F.array_distinct("tokens").alias("tokens")] if tokens else []), *carry)
     parts = [asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, [_block(p, held, k, vectors, tokens, least, weights) for p in parts])
+    return reduce(DataFrame.unionByName, [_block(p, held, k, vectors, tokens, least, weights, carry) for p in parts])
 
 
-def _block(asked: DataFrame, held: DataFrame, k: int, vectors: bool, tokens: bool, least: float, weights: tuple[float, float]) -> DataFrame:
+def _block(asked: DataFrame, held: DataFrame, k: int, vectors: bool, tokens: bool, least: float, weights: tuple[float, float], carry: tuple[str, ...]) -> DataFrame:
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -204,7 +204,8 @@ def _block(asked: DataFrame, held: DataFrame, k: int, vectors: bool, tokens: boo
                 changed = np.r_[True, np.any([x[by][1:] != x[by][:-1] for x in (q, *value)], axis=0)][: len(by)]
                 start = np.nonzero(changed)[0]
                 keep = by[np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)])) < k]
-                yield pa.RecordBatch.from_arrays([b["ids"].take(pa.array(q[keep])), ids.take(pa.array(c[keep])), pa.array(dot[keep], mask=~valid[keep]), *(pa.array(x[keep].astype(np.int64)) for x in (hit, sizes, docs))], names=["query_id", "chunk_id", "dot", "hits", "n_query", "n_doc"])
+                yield pa.RecordBatch.from_arrays([b["ids"].take(pa.array(q[keep])), ids.take(pa.array(c[keep])), pa.array(dot[keep], mask=~valid[keep]), *(pa.array(x[keep].astype(np.int64)) for x in (hit, sizes, docs)), *(part.column(x).take(pa.array(c[keep])) for x in carry)], names=["query_id", "chunk_id", "dot", "hits", "n_query", "n_doc", *carry])
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    return held.mapInArrow(run, f"query_id {kind(asked, 'query_id')}, chunk_id {kind(held, 'chunk_id')}, dot double, hits long, n_query long, n_doc long")
+    carried = "".join(f", `{x}` {kind(held, x)}" for x in carry)
+    return held.mapInArrow(run, f"query_id {kind(asked, 'query_id')}, chunk_id {kind(held, 'chunk_id')}, dot double, hits long, n_query long, n_doc long{carried}")

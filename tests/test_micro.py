@@ -196,6 +196,29 @@ def test_search_ranks_as_all_pairs_do(spark, monkeypatch, least):
         assert not any(x in plan_of(got) for x in ("CartesianProduct", "NestedLoop", "HashJoin", "SortMergeJoin"))
 
 
+@pytest.mark.parametrize("least", [-1.0, 0.25])
+def test_vector_links_make_no_pair_that_cannot_count(spark, monkeypatch, least):
+    """Ties, copies, null and odd vectors, tiny blocks: the links that all pairs give, from a plan that doesn't make them."""
+    draw = random.Random(3)
+    vector = lambda i: None if i % 17 == 3 else [1.0] if i % 17 == 5 else [1.0, None] if i % 17 == 7 else [draw.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(2)]
+    asked = spark.createDataFrame([(i, f"t{i}", vector(i)) for i in range(40)], "mention_id int, text string, vector array<float>")
+    names = spark.createDataFrame([(f"n{i * 37 % 300}", "Part", f"k{i}", vector(i)) for i in range(300)], "name string, etype string, kg_id string, embedding array<float>").repartition(3)
+    monkeypatch.setattr(nearest, "VECTORS", 15)
+    monkeypatch.setattr(nearest, "CELLS", 400)
+    got = linking.vector(asked, names, least)
+    pairs = search.vector_scores(asked.withColumnRenamed("mention_id", "query_id"), names.withColumnRenamed("name", "chunk_id"), least)
+    best = search.top_k(pairs, 3).withColumnsRenamed({"query_id": "mention_id", "chunk_id": "name", "score": "similarity"})
+    columns = ["mention_id", "text", "name", "etype", "kg_id", "similarity"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, best.join(asked, "mention_id").join(names, "name").select(columns).collect()))
+    assert not any(x in plan_of(got) for x in ("CartesianProduct", "NestedLoop"))
+
+
+def test_vector_links_of_a_shared_name_keep_their_own_score(spark):
+    asked = spark.createDataFrame([(1, "t", [1.0, 0.0])], "mention_id int, text string, vector array<float>")
+    names = spark.createDataFrame([("n", "Drug", "k1", [0.9, 0.0]), ("n", "Food", "k2", [0.7, 0.0]), ("m", "Food", "k3", [0.8, 0.0])], "name string, etype string, kg_id string, embedding array<float>")
+    assert [(r["kg_id"], r["similarity"]) for r in linking.vector(asked, names, keep=2).orderBy(F.desc("similarity")).collect()] == [("k1", 0.9), ("k3", 0.8)]
+
+
 def test_prefilter_falls_back_to_all(spark):
     pairs = spark.createDataFrame([(1, "a", True), (1, "b", False), (2, "c", False), (2, "d", None)], "query_id int, chunk_id string, f boolean")
     got = search.keyword_prefilter(pairs, F.col("f"))
