@@ -34,9 +34,21 @@ def _key(label: str, column: str):
     return F.concat(F.lit(f"{label}:"), F.col(column).cast("string"))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The labels of this graph, and ids as a label's place and a key: a fraction of their text in an exchange, which _text gives back.
+LABELS = ("Region", "Nation", "Customer", "Supplier", "Part")
+
+
+def _code(label: str, column: str):
+    return F.struct(F.lit(LABELS.index(label)).cast("tinyint").alias("label"), F.col(column).cast("long").alias("key"))
+
+
+def _text(code):
+    return F.concat(F.element_at(F.array(*map(F.lit, LABELS)), code["label"] + 1), F.lit(":"), code["key"].cast("string"))
+
+
+def nodes(spark: SparkSession, sf_dir: str, key=_key) -> DataFrame:
     parts = []
-    for name, label, key, title, props in (
+    for name, label, number, title, props in (
         ("region", "Region", "r_regionkey", "r_name", []),
         ("nation", "Nation", "n_nationkey", "n_name", ["n_regionkey"]),
         ("customer", "Customer", "c_custkey", "c_name", ["c_mktsegment", "c_nationkey"]),
@@ -45,21 +57,25 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ):
         values = [x for p in props for x in (F.lit(p), F.col(p).cast("string"))]
         held = F.create_map(*values) if props else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-        parts.append(table(spark, sf_dir, name).select(_key(label, key).alias("id"), F.lit(label).alias("label"), F.col(title).alias("name"), held.alias("props")))
+        parts.append(table(spark, sf_dir, name).select(key(label, number).alias("id"), F.lit(label).alias("label"), F.col(title).alias("name"), held.alias("props")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edge_parts(spark: SparkSession, sf_dir: str, key=_key) -> list[DataFrame]:
+    """The edges of each kind, with repeats."""
     t = lambda name: table(spark, sf_dir, name)
     line = t("lineitem")
-    made = [
-        t("nation").select(_key("Nation", "n_nationkey").alias("src"), _key("Region", "n_regionkey").alias("dst"), F.lit("belongs_to").alias("rel_type")),
-        t("customer").select(_key("Customer", "c_custkey").alias("src"), _key("Nation", "c_nationkey").alias("dst"), F.lit("belongs_to").alias("rel_type")),
-        t("supplier").select(_key("Supplier", "s_suppkey").alias("src"), _key("Nation", "s_nationkey").alias("dst"), F.lit("belongs_to").alias("rel_type")),
-        line.select(_key("Supplier", "l_suppkey").alias("src"), _key("Part", "l_partkey").alias("dst"), F.lit("drugs_of").alias("rel_type")),
-        line.join(t("orders"), line.l_orderkey == F.col("o_orderkey")).select(_key("Customer", "o_custkey").alias("src"), _key("Part", "l_partkey").alias("dst"), F.lit("recommand_drug").alias("rel_type")),
+    return [
+        t("nation").select(key("Nation", "n_nationkey").alias("src"), key("Region", "n_regionkey").alias("dst"), F.lit("belongs_to").alias("rel_type")),
+        t("customer").select(key("Customer", "c_custkey").alias("src"), key("Nation", "c_nationkey").alias("dst"), F.lit("belongs_to").alias("rel_type")),
+        t("supplier").select(key("Supplier", "s_suppkey").alias("src"), key("Nation", "s_nationkey").alias("dst"), F.lit("belongs_to").alias("rel_type")),
+        line.select(key("Supplier", "l_suppkey").alias("src"), key("Part", "l_partkey").alias("dst"), F.lit("drugs_of").alias("rel_type")),
+        line.join(t("orders"), line.l_orderkey == F.col("o_orderkey")).select(key("Customer", "o_custkey").alias("src"), key("Part", "l_partkey").alias("dst"), F.lit("recommand_drug").alias("rel_type")),
     ]
-    return G.build_edges(made)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.build_edges(edge_parts(spark, sf_dir))
 
 
 N_SQL = """n as (
@@ -269,8 +285,12 @@ select query_id, coalesce(n_nodes, 0)::bigint as n_nodes, coalesce(n_edges, 0)::
 @query(f"with {INTENT_SQL}")
 def intent_retrieval(spark, sf_dir):
     """From a question's intent and entity types to relations, subgraph and text, for every customer as the entity of a question."""
-    e, n = _graph(spark, sf_dir)
-    key = F.col("c_custkey")
-    asked = table(spark, sf_dir, "customer").select(_key("Customer", "c_custkey").alias("query_id"), F.element_at(F.array(*(F.lit(i) for i in INTENTS.values())), (key % 4 + 1).cast("int")).alias("intent"))
-    entities = table(spark, sf_dir, "customer").select(_key("Customer", "c_custkey").alias("query_id"), F.col("c_name").alias("name"), F.when(key % 8 == 3, "Department").otherwise("Food").alias("etype"))
-    return R.retrieve(asked, entities, _seeds(spark, sf_dir), e, n, degree_limit=HUB, headings=HEADINGS)
+    parts = edge_parts(spark, sf_dir, _code)
+    calm = G.calm_edges(reduce(DataFrame.union, parts), HUB, leaving=parts[0])  # of the nodes that edges lead to, only nations have edges of their own
+    e = calm.filter(F.col("src.label") != LABELS.index("Supplier"))  # they count for degrees; no question asks for a supplier and no edge leads to one
+    customers, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    asked = customers.select(key.alias("query_id"), F.element_at(F.array(*(F.lit(i) for i in INTENTS.values())), (key % 4 + 1).cast("int")).alias("intent"))
+    entities = customers.select(key.alias("query_id"), F.col("c_name").alias("name"), F.when(key % 8 == 3, "Department").otherwise("Food").alias("etype"))
+    seeds = customers.select(key.alias("query_id"), _code("Customer", "c_custkey").alias("seed"))
+    found = R.retrieve(asked, entities, seeds, e, nodes(spark, sf_dir, _code), degree_limit=None, shown=_text, headings=HEADINGS)
+    return found.withColumn("query_id", F.concat(F.lit("Customer:"), F.col("query_id").cast("string")))

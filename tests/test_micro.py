@@ -392,3 +392,48 @@ def test_paragraphs_keep_nested_text(spark):
     df = spark.createDataFrame([("<p class='a'>one <b>two</b> three</p><pre>no</pre><P>four</P><div class=\"x box y\">five <i>six</i></div>",)], "h string")
     assert df.select(text.html_paragraphs(F.col("h"))).first()[0] == ["one two three", "four"]
     assert df.select(text.html_by_class(F.col("h"), "div", "box")).first()[0] == ["five six"]
+
+
+def test_calm_edges_count_distinct_edges_at_either_end(spark):
+    rows = [("a", "x", "r")] * 3 + [("b", "x", "r"), ("x", "y", "r"), ("c", "y", "r"), ("c", "y", "s"), ("z", "z", "r")]
+    edges = spark.createDataFrame(rows, "src string, dst string, rel_type string")
+    degree = {r["id"]: r["degree"] for r in graph.degrees(edges.distinct()).collect()}
+    assert degree["x"] == 3 and degree["z"] == 2
+    for limit in (2, 3, 4):
+        for leaving in (None, edges.filter("src in ('x', 'z')")):
+            assert sorted(map(tuple, graph.calm_edges(edges, limit, leaving).collect())) == sorted(r for r in set(rows) if degree[r[1]] < limit)
+
+
+def test_retrieval_of_two_hops_with_caps(spark):
+    """Two hops along the plan only, a node by its best path, edges between kept nodes only, a seed that is no node."""
+    from tessella.operators import retrieval
+
+    props = {"a": "x"}
+    nodes = spark.createDataFrame([("d1", "Disease", "flu", props), ("s1", "Symptom", "cough", props), ("g1", "Drug", "syrup", props), ("g2", "Drug", "pills", props), ("f1", "Food", "soup", props)], "id string, label string, name string, props map<string,string>")
+    edges = spark.createDataFrame([("d1", "s1", "has_symptom"), ("d1", "g1", "recommand_drug"), ("s1", "g2", "common_drug"), ("s1", "g1", "common_drug"), ("g1", "f1", "drugs_of"), ("s1", "d1", "has_symptom"), ("nowhere", "s1", "has_symptom")], "src string, dst string, rel_type string")
+    asked = spark.createDataFrame([(1, "disease_inquiry"), (2, "disease_inquiry"), (3, "other")], "query_id int, intent string")
+    entities = spark.createDataFrame([(1, "flu", "Disease")], "query_id int, name string, etype string")
+    seeds = spark.createDataFrame([(1, "d1"), (2, "nowhere")], "query_id int, seed string")
+
+    def told(**limits):
+        got = retrieval.retrieve(asked, entities, seeds, edges, nodes, degree_limit=None, **limits).collect()
+        return {r["query_id"]: (r["n_nodes"], r["n_edges"], r["description"]) for r in got}
+
+    whole = told()
+    assert whole[1] == (4, 4, "关于flu，以下是相关的医疗知识：\n  - 相关疾病：flu\n  - 相关症状：cough\n  - 推荐药品：syrup, pills\n  - 关系类型：有症状(1条), 推荐药品(1条), 常用药品(2条)")
+    assert whole[2][:2] == (4, 4) and "flu" in whole[2][2] and whole[3] == (0, 0, retrieval.NOTHING)
+    assert told(most_nodes=2)[1][:2] == (2, 1) and told(per_seed=1)[1][:2] == (2, 1)
+
+
+def test_intent_retrieval_exchanges_its_edges_once(spark):
+    from tessella.plans import graph_queries
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(held, ("false", "-1")):
+            spark.conf.set(k, v)
+        plan = graph_queries.intent_retrieval(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert plan.count("lineitem.parquet") == 2  # for suppliers and for customers
